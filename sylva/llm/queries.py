@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import mixing, packing, quality, secrets, sharding, urls
+from sylva.llm import ann, jaccard, mixing, packing, quality, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_secrets, op6_sharding, op7_url_filter, op8_packing, op9_quality)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_secrets, op5_ngram_join, op6_sharding, op7_url_filter, op8_packing, op9_quality, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
