@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import ann, jaccard, mixing, packing, quality, secrets, sharding, urls
+from sylva.llm import ann, jaccard, mixing, packing, pii, quality, repeats, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_secrets, op5_ngram_join, op6_sharding, op7_url_filter, op8_packing, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_repeats, op4_secrets, op5_ngram_join, op6_sharding, op7_url_filter, op8_packing, op9_quality, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
