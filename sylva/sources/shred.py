@@ -37,7 +37,7 @@ BLOCKS = frozenset("address article aside blockquote details div dl fieldset fig
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}, "tbody": {"tbody", "thead"}, "thead": {"tbody"}}
 CONTAINERS = {"p": frozenset("html body div article section li td th blockquote form fieldset main aside header footer nav table button".split()), "li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset("table tbody thead tfoot".split()), "td": frozenset("tr table".split()), "th": frozenset("tr table".split()), "option": frozenset("select datalist".split()), "body": frozenset(["html"]), "tbody": frozenset(["table"]), "thead": frozenset(["table"])}
 
-_START = r"A-Z_a-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff"
+_START = "A-Z_a-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff"
 NCNAME = rf"[{_START}][{_START}0-9.\-·̀-ͯ‿-⁀]*"
 QNAME = rf"{NCNAME}(?::{NCNAME})?"
 _ATTR = re.compile(rf"\s+({QNAME})\s*=\s*(?:\"([^<\"]*)\"|'([^<']*)')")
