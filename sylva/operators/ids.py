@@ -26,17 +26,23 @@ def id_value(choices: list[IdChoice], declared_ids: list[tuple[str, str]] = (),
     def pick(test) -> Column:
         return F.get(F.filter("attrs", test), F.lit(0))["value"]
 
-    found = [pick(lambda a: a["name"] == "xml:id")]
+    def named(n: str):
+        return lambda a: a["name"] == n
+
+    def local(n: str, uri: str):
+        return lambda a: (a["local"] == n) & ((a["ns_uri"] == uri) if uri != "*" else F.lit(True))
+
+    found = [pick(named("xml:id"))]
     for elem, attr in declared_ids:
         here = F.lit(True) if elem == "*" else F.col("name") == elem
-        found.append(F.when(here, pick(lambda a, n=attr: a["name"] == n)))
+        found.append(F.when(here, pick(named(attr))))
     for c in choices:
         here = F.lit(True)
         if c.elem != "*":
             here = here & ((F.col("name") == c.elem) | (F.col("local") == c.elem))
         if c.elem_ns != "*":
             here = here & (F.col("ns_uri") == c.elem_ns)
-        value = c.make(F) if c.make else F.coalesce(pick(lambda a, n=c.attr: a["name"] == n), pick(lambda a, n=c.attr, u=c.attr_ns: (a["local"] == n) & ((a["ns_uri"] == u) if u != "*" else F.lit(True))))
+        value = c.make(F) if c.make else F.coalesce(pick(named(c.attr)), pick(local(c.attr, c.attr_ns)))
         found.append(F.when(here, value))
     return F.nullif(F.trim(normalize_case(F.coalesce(*found), fold)), F.lit(""))
 
@@ -62,8 +68,8 @@ def id_paths(forest: DataFrame, index: DataFrame) -> DataFrame:
     up = forest.select("doc_id", "pre", "path", F.explode(F.concat("anc", F.array("pre"))).alias("_a"))
     # the anchor's depth is its place among the ancestors: the path below starts after it
     near = up.join(own, ["doc_id", "_a"]).groupBy("doc_id", "pre").agg(F.max(F.struct("_a", "id")).alias("k"))
-    depth = forest.select("doc_id", F.col("pre").alias("_p"), F.col("depth").alias("_dp"))
-    joined = forest.select("doc_id", "pre", "path", "depth").join(near, ["doc_id", "pre"], "left").join(depth, (F.col("_p") == F.col("k._a")) & (depth["doc_id"] == forest["doc_id"]), "left").drop(depth["doc_id"])
+    depth = forest.select(F.col("doc_id").alias("_dd"), F.col("pre").alias("_p"), F.col("depth").alias("_dp"))
+    joined = forest.filter("node_type > 0").select("doc_id", "pre", "path").join(near, ["doc_id", "pre"], "left").join(depth, (F.col("_p") == F.col("k._a")) & (F.col("_dd") == F.col("doc_id")), "left")
     below = F.expr("slice(path, coalesce(_dp, 0) + 1, size(path))").cast("array<string>")
     return joined.select("doc_id", "pre", F.when(F.col("k").isNull(), F.array_join(F.col("path").cast("array<string>"), "/")).otherwise(F.array_join(F.concat(F.array(F.col("k.id")), below), "/")).alias("path_text"))
 
