@@ -6,9 +6,8 @@ so the whole table is one projection without exchange and without user functions
 
 Defined results: a null or empty text has no words and fails ``words``; columns
 other than ``text`` are carried unread, null or not; repeated rows are judged
-alike; an empty table gives an empty table.  Measures are computed in columns
-whose names begin with ``q_`` and are dropped unless asked for, so a clashing
-column of the input is only shadowed if it has such a name.
+alike; an empty table gives an empty table.  ``judge`` adds one column, ``q``, and
+takes the place of an input column of that name; ``keep_good`` adds none.
 """
 
 from __future__ import annotations
@@ -90,67 +89,58 @@ def measures(text: Column) -> Column:
     return let(words_of(text), of)
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``q_``-columns: the counts and the ratios that the rules bound."""
-    m = docs.withColumn("q", measures(F.col(text)))
-    words = F.greatest(F.col("q.n_words"), F.lit(1))
-    return m.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("q.n_words").alias("q_n_words"),
-        F.col("q.word_chars").alias("q_word_chars"),
-        F.col("q.n_symbols").alias("q_n_symbols"),
-        F.col("q.lines.dup").alias("q_n_dup_lines"),
-        F.col("q.n_repeat_words").alias("q_n_repeat_words"),
-        (F.col("q.n_repeat_words") / words).alias("q_repeat_ratio"),
-        (F.col("q.word_chars") / words).alias("q_mean_word"),
-        (F.col("q.n_symbols") / words).alias("q_symbol_ratio"),
-        (F.col("q.n_stop") / words).alias("q_stop_ratio"),
-        (F.col("q.lines.dup") / F.greatest(F.col("q.lines.n"), F.lit(1))).alias("q_dup_line_ratio"),
-        (F.col("q.n_alpha") / F.greatest(F.col("q.word_chars"), F.lit(1))).alias("q_alpha_ratio"),
+def with_ratios(m: Column) -> Column:
+    """The counts of ``measures`` and the ratios that the rules bound, as one struct."""
+    words = F.greatest(m["n_words"], F.lit(1))
+    return F.struct(
+        m["n_words"].alias("n_words"),
+        m["word_chars"].alias("word_chars"),
+        m["n_symbols"].alias("n_symbols"),
+        m["lines"]["dup"].alias("n_dup_lines"),
+        m["n_repeat_words"].alias("n_repeat_words"),
+        (m["n_repeat_words"] / words).alias("repeat_ratio"),
+        (m["word_chars"] / words).alias("mean_word"),
+        (m["n_symbols"] / words).alias("symbol_ratio"),
+        (m["n_stop"] / words).alias("stop_ratio"),
+        (m["lines"]["dup"] / F.greatest(m["lines"]["n"], F.lit(1))).alias("dup_line_ratio"),
+        (m["n_alpha"] / F.greatest(m["word_chars"], F.lit(1))).alias("alpha_ratio"),
     )
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The table as one boolean expression over ``q_``-columns."""
+def passes(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The table as one boolean expression over a struct of measures."""
     good = F.lit(True)
     for r in rules:
-        c = F.col(f"q_{r.measure}")
         if r.low is not None:
-            good = good & (c >= r.low)
+            good = good & (q[r.measure] >= r.low)
         if r.high is not None:
-            good = good & (c <= r.high)
+            good = good & (q[r.measure] <= r.high)
     return good
 
 
-def failed_rules(rules: tuple[Rule, ...] = RULES) -> Column:
-    """Names of the rules that a document breaks."""
-    return F.filter(
-        F.array(*[F.when(~verdict((r,)), F.lit(r.name)) for r in rules]),
-        lambda x: x.isNotNull(),
-    )
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All columns of ``docs`` and ``q``: the measures, ``failed`` (names of broken rules) and ``kept``."""
 
+    def verdict(q: Column) -> Column:
+        failed = F.filter(F.array(*[F.when(~passes(q, (r,)), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        return F.struct(q.alias("m"), failed.alias("failed"), passes(q, rules).alias("kept"))
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``docs``, the measures, ``q_failed`` (names) and ``q_kept``."""
-    return with_measures(docs, text).withColumn("q_failed", failed_rules(rules)).withColumn("q_kept", F.size("q_failed") == 0)
+    return docs.withColumn("q", let(let(measures(F.col(text)), with_ratios), verdict))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Only the documents that break no rule, with the columns of ``docs``."""
-    return judge(docs, text, rules).filter("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Only the documents that break no rule.  One filter whose measures are bound once, so nothing is measured per rule."""
+    return docs.filter(let(let(measures(F.col(text)), with_ratios), lambda q: passes(q, rules)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The result of query op9."""
-    base = (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
+    m = F.col("q.m")
+    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     return judge(docs).select(
         "doc_id",
-        F.col("q_n_words").alias("n_words"),
-        F.col("q_word_chars").alias("word_chars"),
-        F.col("q_n_symbols").alias("n_symbols"),
-        F.col("q_n_dup_lines").alias("n_dup_lines"),
-        F.col("q_n_repeat_words").alias("n_repeat_words"),
+        *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"),
-        (~base & F.col("q_kept")).alias("kept"),
-        F.array_join("q_failed", ",").alias("failed_rules"),
+        (~base & F.col("q.kept")).alias("kept"),
+        F.array_join("q.failed", ",").alias("failed_rules"),
     )
