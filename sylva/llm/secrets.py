@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sylva.llm.common import materialize, scratch
+from sylva.llm.common import let, materialize, scratch
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, path: str = "d
     return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("found"))
 
 
-def spans_text(found) -> F.Column:
+def spans_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
@@ -153,24 +153,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     hits = scan_versions(docs).filter(F.size("found") > 0).select(F.col("path").alias("_p"), F.col("blob").alias("_b"), F.col("found").alias("_f")).distinct()
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
-        def one(t, spans):
-            out, at = [], 0
-            for s in spans:
-                if s["end"] > at:
-                    if s["start"] >= at:
-                        out += [t[at:s["start"]], mark]
-                    at = s["end"]
-            return "".join(out) + t[at:]
+    def cut(x: Column) -> Column:
+        text, found = x["t"], x["f"]
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-        return pd.Series([one(t, f) for t, f in zip(text, found, strict=True)])
+        def step(acc: Column, y: Column) -> Column:
+            kept = F.concat(acc["out"], F.substr(text, acc["at"] + 1, y["start"] - acc["at"]), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.when(y["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     wide = docs.withColumn("_key", key).join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("_key") == F.col("_b")), "left")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    clean = wide.filter(F.col("_f").isNull()).select(*cols)
-    dirty = wide.filter(F.col("_f").isNotNull()).withColumn("text", cut("text", "_f"))
+    clean = F.when(F.col("_f").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("_f").alias("f")), cut))
+    out = wide.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(dirty.select(*cols))
+        out = out.withColumn("n_chars", F.when(F.col("_f").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
