@@ -1,6 +1,491 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that gives the same rows.
+
+Page queries run over ``pages`` (tag soup, one tree per page); customer queries over the
+twin documents of ``twin``, whose answers are relational.  Each runs over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sylva.functions import dates, text, types
+from sylva.operators import attrs, axes, css, ids, mutate, overlap, pick, positions
+from sylva.plans import serialize, twin
+from sylva.sources import readers
+from sylva.sources.dtd import Dtd
+from sylva.sources.jsonx import shred_json
+from sylva.sources.options import ShredOptions
+from sylva.sources.shred import shred
+from sylva.streaming import pipelines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred(table(spark, sf_dir, "pages"), "page_id", "html", ShredOptions(mode="html"))
+
+
+def long(c, name: str):
+    return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
+
+
+def attr(name: str, kind: str = "string"):
+    return attrs.attribute(name).cast(kind)
+
+
+_LINE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+_PLACED = f"SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE}) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+_ORDERS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS opos FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+# -- pages ---------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links FROM pages")
+def links_per_page(spark, sf_dir):
+    """Shred, select ``nav li > a``, count per page."""
+    forest = page_forest(spark, sf_dir)
+    found = css.select(forest, "nav li > a").filter(attrs.has_attribute("href")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    return pages.join(found, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+@query("SELECT page_id, CAST(i AS BIGINT) AS place, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) AS h FROM pages))")
+def link_targets(spark, sf_dir):
+    """Attribute of the selected elements, with their place among the list's items."""
+    forest = page_forest(spark, sf_dir)
+    a = css.select(forest, "ul > li > a")
+    items = axes.parent(forest, a).select("doc_id", F.col("from_pre").alias("pre"), (F.col("ord_e") + 1).alias("i"))
+    return a.join(items, ["doc_id", "pre"]).select(F.col("doc_id").alias("page_id"), long("i", "place"), attr("href").alias("href"))
+
+
+@query("SELECT page_id, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title FROM pages")
+def page_titles(spark, sf_dir):
+    """Text content of an element."""
+    forest = page_forest(spark, sf_dir)
+    return positions.text_content(forest, forest.filter("name = 'title'")).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def heading_language(spark, sf_dir):
+    """Inherited attribute: the nearest ``lang`` above each h1."""
+    forest = page_forest(spark, sf_dir)
+    return attrs.inherited(forest, forest.filter("name = 'h1'"), "lang").select(F.col("doc_id").alias("page_id"), F.col("value").alias("lang"))
+
+
+@query("SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS name FROM pages) GROUP BY name")
+def elements_by_name(spark, sf_dir):
+    return axes.elements(page_forest(spark, sf_dir)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'class=\"ad\"')) AS BIGINT) AS n_ads FROM pages")
+def ads_by_class(spark, sf_dir):
+    """Elements by class token from the root."""
+    forest = page_forest(spark, sf_dir)
+    return axes.by_class(forest, forest.filter("depth = 1"), "ad").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n_ads"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) AS n_comments FROM pages")
+def comments_per_page(spark, sf_dir):
+    return page_forest(spark, sf_dir).filter(axes.is_type("comment")).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n_comments"))
+
+
+@query()
+def page_outline(spark, sf_dir):
+    """Every element with its tag path, place and depth (no SQL form: tag soup is repaired)."""
+    return axes.elements(page_forest(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "pre", "depth", "tag_path", axes.node_path().alias("path"))
+
+
+@query()
+def pages_as_xml(spark, sf_dir):
+    """Tag soup out as well-formed XML."""
+    return serialize.to_xml(page_forest(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "xml")
+
+
+@query("SELECT 'still differs' AS what, CAST(0 AS BIGINT) AS n")
+def xml_round_trip(spark, sf_dir):
+    """Shred, serialize, shred again: element rows that are not the same."""
+    forest = page_forest(spark, sf_dir)
+    again = shred(serialize.to_xml(forest), text="xml")
+    cols = ["doc_id", "pre", "last", "name", "attrs", "tag_path"]
+    differ = axes.nodes(forest).select(cols).exceptAll(again.select(cols))
+    return differ.agg(F.lit("still differs").alias("what"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'still differs' AS what, CAST(0 AS BIGINT) AS n")
+def json_round_trip(spark, sf_dir):
+    """Tree to JSON to tree: element rows that are not the same."""
+    forest = page_forest(spark, sf_dir)
+    again = shred_json(serialize.to_json_text(forest), text="json")
+    cols = ["doc_id", "pre", "last", "name", "attrs", "data"]
+    return axes.nodes(forest).select(cols).exceptAll(again.select(cols)).agg(F.lit("still differs").alias("what"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'violations' AS what, CAST(0 AS BIGINT) AS n")
+def page_trees_are_sound(spark, sf_dir):
+    return positions.validate(page_forest(spark, sf_dir)).agg(F.lit("violations").alias("what"), F.sum("violations").alias("n"))
+
+
+@query("SELECT page_id, CAST(0 AS BIGINT) AS n FROM pages WHERE false")
+def bold_overlaps(spark, sf_dir):
+    """Interval join of spans: repaired markup nests, so nothing overlaps properly."""
+    spans = overlap.of_nodes(page_forest(spark, sf_dir))
+    return overlap.overlapping(spans.filter("name = 'b'"), spans.filter("name = 'p'"), proper=True).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- customers -----------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS order_key, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def lines_per_order(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    orders = forest.filter("name = 'order'")
+    n = axes.children(forest, orders).groupBy("doc_id", F.col("from_pre").alias("pre")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return orders.join(n, ["doc_id", "pre"]).select(attr("key", "long").alias("order_key"), "n_lines")
+
+
+@query("SELECT c_custkey AS customer, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def lines_by_tag_name(spark, sf_dir):
+    """Self-or-descendant elements of a name, from the root."""
+    forest = twin.customer_forest(spark, sf_dir)
+    return axes.by_tag(forest, forest.filter("depth = 1"), "line").groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("SELECT o_orderkey AS order_key, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def quantity_by_parent(spark, sf_dir):
+    """Parent axis and an aggregate."""
+    forest = twin.customer_forest(spark, sf_dir)
+    lines = forest.filter("name = 'line'")
+    up = axes.parent(forest, lines).select("doc_id", F.col("from_pre").alias("pre"), attr("key", "long").alias("order_key"))
+    return lines.join(up, ["doc_id", "pre"]).groupBy("order_key").agg(F.sum(attr("qty", "long")).alias("qty"))
+
+
+@query("SELECT name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['nation', 'customer', 'order']) AS name, 1 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY name")
+def ancestors_of_lines(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    return axes.ancestors(forest, forest.filter("name = 'line'")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS nation, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def inherited_nation(spark, sf_dir):
+    """As-of lookup along the ancestors."""
+    forest = twin.customer_forest(spark, sf_dir)
+    return attrs.inherited(forest, forest.filter("name = 'line'"), "name").groupBy(F.col("value").alias("nation")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("SELECT o_custkey || '/' || o_orderkey AS stack FROM orders JOIN customer ON o_custkey = c_custkey")
+def stacked_keys(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    return attrs.stacked(forest, forest.filter("name = 'order'"), "key").select(F.col("value").alias("stack"))
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(pos - 1 AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
+def line_places(spark, sf_dir):
+    """Child index by a window."""
+    forest = twin.customer_forest(spark, sf_dir)
+    lines = positions.child_index(forest, only_elements=True).filter("name = 'line'")
+    up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return lines.join(up, ["doc_id", "parent"]).select("order_key", long("child_index", "place"), attr("qty", "long").alias("qty"))
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(pos - 1 - count(*) OVER (PARTITION BY l_orderkey) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
+def line_places_from_end(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    lines = positions.child_index(forest, of_name="line", reverse=True).filter("name = 'line'")
+    up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return lines.join(up, ["doc_id", "parent"]).select("order_key", long("child_index", "place"), attr("qty", "long").alias("qty"))
+
+
+def _with_neighbour(spark, sf_dir, step: int) -> DataFrame:
+    forest = twin.customer_forest(spark, sf_dir)
+    lines = forest.filter("name = 'line'")
+    other = axes.sibling(forest, lines, step).select("doc_id", F.col("from_pre").alias("pre"), attr("qty", "long").alias("other_qty"))
+    up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return lines.join(up, ["doc_id", "parent"]).join(other, ["doc_id", "pre"], "left").select("order_key", attr("qty", "long").alias("qty"), "other_qty")
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(l_quantity AS BIGINT) AS qty, CAST(lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS other_qty FROM ({_PLACED})")
+def next_line(spark, sf_dir):
+    return _with_neighbour(spark, sf_dir, 1)
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(l_quantity AS BIGINT) AS qty, CAST(lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS other_qty FROM ({_PLACED})")
+def previous_line(spark, sf_dir):
+    return _with_neighbour(spark, sf_dir, -1)
+
+
+@query("SELECT l_orderkey AS order_key, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_pairs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 1")
+def line_pairs(spark, sf_dir):
+    """Following-sibling axis: a theta join within a parent."""
+    forest = twin.customer_forest(spark, sf_dir)
+    up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return axes.following_siblings(forest, forest.filter("name = 'line'")).join(up, ["doc_id", "parent"]).groupBy("order_key").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query(f"SELECT c_custkey AS customer, CAST(count(*) AS BIGINT) AS n FROM ({_ORDERS}) GROUP BY 1 HAVING count(*) > 0")
+def last_nodes(spark, sf_dir):
+    """Preceding axis of XPath from the last node: what is before it, but for its ancestors (orders and their lines)."""
+    forest = twin.customer_forest(spark, sf_dir)
+    last = axes.rightmost(forest, forest.filter("pre = 0")).drop("from_pre").filter("depth > 2")
+    orders = axes.preceding(forest, last, F.col("name") == "order", xpath=True).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+    is_line = last.select(F.col("doc_id").alias("customer"), F.lit(1).alias("own"))
+    return is_line.join(orders, "customer", "left").select("customer", (F.coalesce("n", F.lit(0)) + F.col("own")).cast("long").alias("n"))
+
+
+@query(f"SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'line' ELSE 'order' END AS name FROM ({_ORDERS}) o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey) OR opos < (SELECT count(*) FROM orders p WHERE p.o_custkey = o.o_custkey)) GROUP BY name")
+def node_after_order(spark, sf_dir):
+    """Next in document order: the first line, or the next order after an empty one."""
+    forest = twin.customer_forest(spark, sf_dir)
+    return axes.neighbour(forest, forest.filter("name = 'order'"), 1).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS customer, CAST(sum(CASE WHEN o_orderkey IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING max(o_orderkey) IS NOT NULL")
+def orders_by_path(spark, sf_dir):
+    """A child-only selector is one filter over stored tag paths."""
+    return css.select(twin.customer_forest(spark, sf_dir), "nation > customer > order").groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _selected(selector: str, sql_filter: str, name: str, source: str = "order") -> None:
+    """A query that counts a selector's matches per customer."""
+    base = f"FROM ({_ORDERS}) o" if source == "order" else f"FROM ({_PLACED}) l"
+
+    def run(spark, sf_dir):
+        return css.select(twin.customer_forest(spark, sf_dir), selector).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+
+    run.__name__ = name
+    run.__doc__ = f"Matches of ``{selector}`` per customer."
+    query(f"SELECT c_custkey AS customer, CAST(count(*) AS BIGINT) AS n {base} WHERE {sql_filter} GROUP BY 1")(run)
+
+
+_HAS = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {})"
+_selected("line[flag=R]", "l_returnflag = 'R'", "css_equal", "line")
+_selected("line[flag='r' i]", "l_returnflag = 'R'", "css_equal_folded", "line")
+_selected("order[priority^='1']", "starts_with(o_orderpriority, '1')", "css_prefix")
+_selected("order[priority$='SPECIFIED']", "ends_with(o_orderpriority, 'SPECIFIED')", "css_suffix")
+_selected("order[priority*='URG']", "contains(o_orderpriority, 'URG')", "css_substring")
+_selected("order[priority|='1']", "o_orderpriority = '1' OR starts_with(o_orderpriority, '1-')", "css_dash")
+_selected("order[priority~='SPECIFIED']", "list_contains(string_split(o_orderpriority, ' '), 'SPECIFIED')", "css_token")
+_selected("order:has(> line[flag=R])", _HAS.format("l_returnflag = 'R'"), "css_has")
+_selected("order:not(:has(line[flag=R]))", "NOT " + _HAS.format("l_returnflag = 'R'"), "css_not_has")
+_selected("customer > order:empty", "NOT " + _HAS.format("true"), "css_empty")
+_selected("order:nth-child(2n+1)", "opos % 2 = 1", "css_nth_child")
+_selected("customer order:last-child", "opos = (SELECT count(*) FROM orders p WHERE p.o_custkey = o.o_custkey)", "css_last_child")
+_selected("order + order", "opos > 1", "css_adjacent")
+_selected("order[status=F] ~ order", "EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey AND p.o_orderstatus = 'F')", "css_general_sibling")
+_selected("order[status=F] line[flag=A], order[status=O] > line[flag=N]", "(o_orderstatus = 'F' AND l_returnflag = 'A') OR (o_orderstatus = 'O' AND l_returnflag = 'N')", "css_list", "line")
+_selected("order line:only-of-type", "(SELECT count(*) FROM lineitem m WHERE m.l_orderkey = l.o_orderkey) = 1", "css_only_of_type", "line")
+_selected("order:is([status=F], [status=P]) > line:nth-last-of-type(2)", "o_orderstatus IN ('F', 'P') AND pos = (SELECT count(*) FROM lineitem m WHERE m.l_orderkey = l.o_orderkey) - 1", "css_is_nth_last", "line")
+
+
+@query("SELECT o_orderkey AS order_key, o_custkey AS customer FROM orders JOIN customer ON o_custkey = c_custkey")
+def order_ids(spark, sf_dir):
+    """ID index by a choice of attribute, then lookup."""
+    forest = twin.customer_forest(spark, sf_dir)
+    index = ids.build_index(forest, [ids.IdChoice("order", "key")])
+    found = ids.by_id(forest, index, index)
+    return found.select(F.col("id").cast("long").alias("order_key"), F.col("doc_id").alias("customer"))
+
+
+@query("SELECT c_custkey AS customer, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS uses FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, o_orderstatus HAVING o_orderstatus = 'F'")
+def duplicate_ids(spark, sf_dir):
+    """Of elements that share an id the last wins."""
+    forest = twin.customer_forest(spark, sf_dir)
+    index = ids.build_index(forest, [ids.IdChoice("order", "status")]).filter("id = 'F'")
+    return ids.by_id(forest, index, index).select("doc_id", attr("key", "long").alias("last_order")).join(index.select("doc_id", "uses"), "doc_id").select(F.col("doc_id").alias("customer"), "last_order", "uses")
+
+
+@query(f"SELECT o_orderkey AS order_key, CAST(opos AS BIGINT) AS place, '1/1/' || opos AS path FROM ({_ORDERS})")
+def order_paths(spark, sf_dir):
+    return twin.customer_forest(spark, sf_dir).filter("name = 'order'").select(attr("key", "long").alias("order_key"), (F.col("ord") + 1).cast("long").alias("place"), axes.node_path().alias("path"))
+
+
+@query(f"SELECT o_orderkey AS order_key FROM ({_ORDERS}) WHERE opos = 2")
+def second_orders_by_path(spark, sf_dir):
+    return axes.by_path(twin.customer_forest(spark, sf_dir), [1, 2]).select(attr("key", "long").alias("order_key"))
+
+
+@query(f"SELECT o_orderkey AS order_key FROM ({_ORDERS}) o WHERE opos BETWEEN 2 AND 3")
+def orders_by_slice(spark, sf_dir):
+    """The pick mini-language: children of a name, in a slice."""
+    forest = twin.customer_forest(spark, sf_dir)
+    return pick.pick(forest, forest.filter("name = 'customer'"), ("order", 1, 3)).select(attr("key", "long").alias("order_key"))
+
+
+@query(f"SELECT o_orderkey AS order_key FROM ({_ORDERS}) o WHERE opos = (SELECT count(*) FROM orders p WHERE p.o_custkey = o.o_custkey)")
+def last_order_by_pick(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    return pick.pick(forest, forest.filter("name = 'customer'"), -1).select(attr("key", "long").alias("order_key"))
+
+
+_TEXT = "'<line n=\"' || l_linenumber || '\" qty=\"' || CAST(l_quantity AS INTEGER) || '\" cents=\"' || CAST(round(l_extendedprice * 100) AS BIGINT) || '\" flag=\"' || l_returnflag || '\" part=\"' || l_partkey || '\" supp=\"' || l_suppkey || '\"/>'"
+
+
+@query(f"SELECT o_orderkey AS order_key, '<order key=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\" priority=\"' || o_orderpriority || '\">' || string_agg({_TEXT}, '' ORDER BY pos) || '</order>' AS xml FROM ({_PLACED}) GROUP BY o_orderkey, o_orderstatus, o_orderpriority")
+def orders_as_xml(spark, sf_dir):
+    """Outer XML of subtrees."""
+    forest = twin.customer_forest(spark, sf_dir)
+    orders = forest.filter("name = 'order' and n_children > 0")
+    return serialize.to_xml(forest, orders, emptySpace=False).join(orders.select("doc_id", "pre", attr("key", "long").alias("order_key")), ["doc_id", "pre"]).select("order_key", "xml")
+
+
+@query(f"SELECT l_orderkey AS order_key, '[{{\"~\": \"line\", \"n\": \"' || l_linenumber || '\", \"qty\": \"' || CAST(l_quantity AS INTEGER) || '\", \"cents\": \"' || CAST(round(l_extendedprice * 100) AS BIGINT) || '\", \"flag\": \"' || l_returnflag || '\", \"part\": \"' || l_partkey || '\", \"supp\": \"' || l_suppkey || '\"}}]' AS json FROM ({_PLACED}) WHERE pos = 1")
+def first_lines_as_json(spark, sf_dir):
+    forest = twin.customer_forest(spark, sf_dir)
+    lines = forest.filter("name = 'line' and ord = 0")
+    up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return serialize.to_json_text(forest, lines).join(lines.join(up, ["doc_id", "parent"]).select("doc_id", "pre", "order_key"), ["doc_id", "pre"]).select("order_key", "json")
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS copies, CAST(count(*) AS BIGINT) AS n_trees FROM (SELECT count(*) AS n FROM ({_PLACED}) GROUP BY l_linenumber, CAST(l_quantity AS INTEGER), CAST(round(l_extendedprice * 100) AS BIGINT), l_returnflag, l_partkey, l_suppkey) GROUP BY n")
+def equal_lines(spark, sf_dir):
+    """Deep equality by the hash of the canonical form."""
+    forest = twin.customer_forest(spark, sf_dir)
+    hashes = serialize.tree_hash(forest, forest.filter("name = 'line'")).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
+    return hashes.groupBy("copies").agg(F.count(F.lit(1)).alias("n_trees"))
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['START', 'END']) AS kind FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer UNION ALL SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)) GROUP BY kind")
+def events_by_kind(spark, sf_dir):
+    return serialize.events(twin.customer_forest(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'nation' AS name FROM customer UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'order' FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'line' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY ROLLUP (name)")
+def node_profile(spark, sf_dir):
+    """Grouping sets over names."""
+    return axes.nodes(twin.customer_forest(spark, sf_dir)).rollup("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED}) WHERE l_returnflag <> 'R'")
+def removed_lines(spark, sf_dir):
+    """Remove nodes and renumber."""
+    forest = twin.customer_forest(spark, sf_dir)
+    left = mutate.remove(forest, css.select(forest, "line[flag=R]"))
+    up = left.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return left.filter("name = 'line'").join(up, ["doc_id", "parent"]).select("order_key", (F.col("ord") + 1).cast("long").alias("place"), attr("qty", "long").alias("qty"))
+
+
+@query(f"SELECT l_orderkey AS order_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS BIGINT), pos) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
+def sorted_lines(spark, sf_dir):
+    """Sort children by a key and renumber."""
+    forest = twin.customer_forest(spark, sf_dir)
+    done = mutate.sort_children(forest, forest.filter("name = 'order'"), attr("qty", "long"))
+    up = done.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
+    return done.filter("name = 'line'").join(up, ["doc_id", "parent"]).select("order_key", (F.col("ord") + 1).cast("long").alias("place"), attr("qty", "long").alias("qty"))
+
+
+@query(f"SELECT name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'note' AS name, count(*) AS n FROM ({_ORDERS}) WHERE o_orderstatus = 'P' UNION ALL SELECT 'order', count(*) FROM ({_ORDERS}) UNION ALL SELECT 'line', count(*) FROM ({_PLACED}) UNION ALL SELECT 'nation', count(*) FROM customer UNION ALL SELECT 'customer', count(*) FROM customer) GROUP BY name")
+def inserted_notes(spark, sf_dir):
+    """Insert a fragment into selected nodes and renumber."""
+    forest = twin.customer_forest(spark, sf_dir)
+    return mutate.insert(forest, css.select(forest, "order[status=P]"), "<note/>", "first").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT facet, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN l_partkey > 127 THEN 'maxInclusive' END AS facet FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY facet")
+def parts_as_bytes(spark, sf_dir):
+    """Facet check of attribute values."""
+    lines = twin.customer_forest(spark, sf_dir).filter("name = 'line'")
+    return lines.select(types.facet_check(attr("part"), "byte").alias("facet")).groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT facet, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN NOT regexp_full_match(o_orderpriority, '[A-Z_a-z][A-Z_a-z0-9.-]*') THEN 'pattern' END AS facet FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY facet")
+def priorities_as_names(spark, sf_dir):
+    orders = twin.customer_forest(spark, sf_dir).filter("name = 'order'")
+    return orders.select(types.facet_check(attr("priority"), "NCName").alias("facet")).groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey AS customer, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1")
+def model_violations(spark, sf_dir):
+    """Content models: an order must have lines."""
+    dtd = Dtd("nation")
+    for name, model in (("nation", "(customer)"), ("customer", "(order*)"), ("order", "(line+)"), ("line", "EMPTY")):
+        dtd.define_element(name, model)
+    broken = readers.check_models(twin.customer_forest(spark, sf_dir), readers.schema_tables(spark, dtd)["dtd_elements"])
+    return broken.filter("name = 'order'").groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, 'order' AS elem, 'eur' AS currency FROM orders JOIN customer ON o_custkey = c_custkey")
+def default_attributes(spark, sf_dir):
+    """Declared defaults for absent attributes."""
+    dtd = Dtd("nation")
+    dtd.define_attribute("order", "currency", value="eur", default_kind="")
+    done = attrs.apply_defaults(twin.customer_forest(spark, sf_dir), readers.schema_tables(spark, dtd)["dtd_attrs"])
+    return done.filter(attrs.has_attribute("currency")).groupBy(F.col("name").alias("elem"), attr("currency").alias("currency")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- scalars -------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS part, array_to_string(list_distinct_ordered, ' ') AS tokens, upper(p_type) AS loud FROM (SELECT p_partkey, p_type, list_filter(string_split(p_type, ' '), lambda x: x <> '') AS list_distinct_ordered FROM part)")
+def part_type_tokens(spark, sf_dir):
+    """Token sets and case handling."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("part"), F.array_join(text.tokens(F.col("p_type")), " ").alias("tokens"), text.normalize_case(F.col("p_type"), "UPPER").alias("loud"))
+
+
+@query("SELECT doc_id, CAST(length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS BIGINT) AS n, CAST(length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS BIGINT) AS n_escaped FROM documents")
+def normalized_lengths(spark, sf_dir):
+    """Space normalization and text escapes over whole texts."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", long(F.length(text.normalize_space(F.col("text"))), "n"), long(F.length(F.replace(text.escape_text(F.col("text")), F.lit("]]&gt;"), F.lit("]]>"))), "n_escaped"))
+
+
+@query("SELECT o_orderkey AS order_key, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, strftime(o_orderdate, '%Y-%m') AS ym FROM orders")
+def order_date_parts(spark, sf_dir):
+    """Partial dates: parse, take apart, print as another type."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", dates.parse_kind(F.date_format("o_orderdate", "yyyy-MM-dd"), "date").alias("f"))
+    ym = dates.to_text(F.col("f").withField("day", F.lit(None).cast("int")))
+    return o.select(F.col("o_orderkey").alias("order_key"), long("f.year", "y"), long("f.month", "m"), long("f.day", "d"), ym.alias("ym"))
+
+
+@query("SELECT o_orderkey AS order_key, strftime(o_orderdate + INTERVAL 14 MONTH + INTERVAL 3 DAY, '%Y-%m-%d') AS due FROM orders")
+def order_due(spark, sf_dir):
+    """Durations: parse and add."""
+    o = table(spark, sf_dir, "orders")
+    due = dates.add_duration(F.col("o_orderdate"), dates.parse_duration(F.lit("P1Y2M3D")))
+    return o.select(F.col("o_orderkey").alias("order_key"), F.date_format(due, "yyyy-MM-dd").alias("due"))
+
+
+# -- event time ----------------------------------------------------------------------
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def events_by_hour(spark, sf_dir):
+    """The tumbling window of the streams, over the table at rest."""
+    return pipelines.tumbling(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type FROM events) GROUP BY 1, 2")
+def events_by_sliding_hour(spark, sf_dir):
+    return pipelines.sliding(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def user_sessions(spark, sf_dir):
+    return pipelines.sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT event_type, user_id, CAST(event_id AS BIGINT) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
+def top_events(spark, sf_dir):
+    """Top three of each type (the limit is the feature)."""
+    order = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
+    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(order)).filter("r <= 3").select("event_type", "user_id", "event_id")
