@@ -13,8 +13,8 @@ term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on.  Equa
 windows (copies) count once, and a pair needs ``SUPPORT`` windows.
 
 Shuffles: pairs near entities and their counts, pre-aggregated; no text moves.  Words
-of the whole corpus are counted only for terms that some pair needs; whether that
-table is broadcast is left to its size at run time.
+of the whole corpus are counted once, pre-aggregated by sender, and kept for the terms
+that some pair needs.
 
 Defined results: a null or empty text has no spans; a null id is kept; repeated rows are
 reported once each; an empty table gives an empty table; other columns are not read.
@@ -129,7 +129,8 @@ def disclosing(docs: DataFrame, seen: DataFrame) -> DataFrame:
     windows = pairs.groupBy("entity").agg(F.count_distinct("window").alias("n_e"))
     wanted = materialize(joint.select(F.col("term").alias("wanted")).distinct(), "wanted")
     words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= TERM_LENGTH))).alias("term"))
-    counts = words.join(wanted, F.col("term") == F.col("wanted")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted before the join, so that the join's size is that of the vocabulary and not of the corpus
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, F.col("term") == F.col("wanted")).select("term", "n_t")
     total = F.lit(float(max(n_docs, 2)))
     content = F.log(F.greatest(total / F.col("n_e"), F.lit(1.0 + 1e-9)))
     shared = F.log(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
@@ -169,8 +170,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with entities replaced by their kind, disclosing terms generalised to ``[term]`` or removed."""
-    found = all_spans(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.array_sort(F.concat("spans", "added")).alias("_s")).distinct()
-    joined = docs.withColumn("_x", F.xxhash64(F.coalesce("text", F.lit("")))).join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left")
+    found = all_spans(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("__sylva_d"), F.col("h").alias("__sylva_h"), F.array_sort(F.concat("spans", "added")).alias("__sylva_s")).distinct()
+    joined = docs.withColumn("__sylva_x", F.xxhash64(F.coalesce("text", F.lit("")))).join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__sylva_d")) & (F.col("__sylva_x") == F.col("__sylva_h")), "left")
 
     def cut(x: Column) -> Column:
         text, spans = x["t"], x["s"]
@@ -186,5 +187,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
-    clean = F.when(F.col("_s").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("_s").alias("s")), cut))
+    clean = F.when(F.col("__sylva_s").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("__sylva_s").alias("s")), cut))
     return joined.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
