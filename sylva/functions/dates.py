@@ -148,7 +148,7 @@ def duration_text(d: Column) -> Column:
     time = F.concat(part("hours", "H"), part("minutes", "M"), seconds)
     date = F.concat(part("years", "Y"), part("months", "M"), part("days", "D"))
     body = F.concat(date, F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
-    return F.concat(F.when(d["negative"], "-").otherwise(""), F.lit("P"), F.when(body == "", "T0S").otherwise(body))
+    return F.when(d.isNotNull(), F.concat(F.when(d["negative"], "-").otherwise(""), F.lit("P"), F.when(body == "", "T0S").otherwise(body)))
 
 
 def add_duration(ts: Column, d: Column) -> Column:
