@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.llm.common import SEED, materialize, shuffle_partitions, words_of
+from sylva.llm.common import SEED, materialize, words_of
 
 CHUNK = 4096
 CAP = 3
@@ -39,9 +39,8 @@ ITEM = "source_no int, doc_id long, text_hash long, size long, copies_of long, w
 
 def source_table(sized: DataFrame) -> DataFrame:
     """(source, source_no, source_size, n): sources numbered in code-point order, null last, without sorting them in one task."""
-    spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    dealt = materialize(totals.repartitionByRange(shuffle_partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    dealt = materialize(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("o"))
     inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
@@ -148,11 +147,11 @@ def take(docs: DataFrame, seed: int = SEED, cap: float = CAP, weights: tuple[int
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    got = take(docs, seed).filter("times > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "times")
+    got = take(docs, seed).filter("times > 0").select(F.col("doc_id").alias("__sylva_d"), F.col("source").alias("__sylva_s"), F.col("text_hash").alias("__sylva_h"), "times")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_x") == F.col("_h"))
-    joined = docs.withColumn("_x", F.xxhash64("text")).join(got.withColumnRenamed("times", "_t").hint("shuffle_hash"), same)
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*cols)
+    same = F.col("doc_id").eqNullSafe(F.col("__sylva_d")) & F.col("source").eqNullSafe(F.col("__sylva_s")) & (F.col("__sylva_x") == F.col("__sylva_h"))
+    joined = docs.withColumn("__sylva_x", F.xxhash64("text")).join(got.withColumnRenamed("times", "__sylva_t").hint("shuffle_hash"), same)
+    return joined.withColumn("__sylva_c", F.explode(F.sequence(F.lit(1), F.col("__sylva_t")))).select(*cols)
 
 
 def digest(docs: DataFrame) -> DataFrame:
