@@ -18,8 +18,8 @@ link when ``100 * intersection >= 80 * union``.  The join is exact on fingerprin
    family; a pair already connected there is not compared again.  Verified links are
    stars, and their components are the answer.
 
-Hot keys: equal sets collapse to one class, key lists are reduced to stars in numpy,
-and a family beyond ``BLOCK`` sets is compared in pairs of blocks over many tasks.
+Hot keys: equal sets collapse to one class; a sender joins its own sets of one key and
+sends one row for them, so a list is as long as there are senders at most; and a family beyond ``BLOCK`` sets is compared in pairs of blocks over many tasks.
 
 Defined results: null or blank text has an empty set, no links and its own id as
 component; repeated rows and equal ids are linked to themselves only by their sets;
@@ -34,17 +34,19 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.llm.blobs import chunks, mix64, pack, unpack
+from sylva.llm.blobs import chunks, mix64, pack, text_units, unpack
 from sylva.llm.common import materialize, shuffle_partitions
 from sylva.llm.components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 BITS = 48
-BLOCK = 4000
+UNIT = 8 << 20
+BLOCK = 1000
 LARGEST_LIGHT = 12
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -99,47 +101,47 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(buckets: int):
-    """Per batch: one row for each bucket of shingles, and one with the batch's documents (bucket -1)."""
+    """Per unit of text: one row for each bucket of shingles, and one with the unit's documents (bucket below 0)."""
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = 0
-        for pdf in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
-            n = len(texts)
-            size, cls = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-            tokens, owners = [], []
-            for a, b in chunks(texts):
-                who, token = shingle_sets(texts[a:b])
-                at, first, counts = np.unique(who, return_index=True, return_counts=True)
-                if len(at):
-                    at = at.astype(np.int64) + a
-                    size[at] = counts
-                    with np.errstate(over="ignore"):
-                        cls[at] = mix64(np.add.reduceat(mix64(token + np.uint64(7)), first) + counts.astype(np.uint64))
-                tokens.append(token)
-                owners.append(who.astype(np.uint32) + np.uint32(a))
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            del tokens, owners
-            _, rep = np.unique(cls, return_index=True)
-            chosen = np.zeros(n, bool)
-            chosen[rep] = True
-            keep = chosen[owner]
-            token, owner = token[keep], owner[keep]
-            order = np.argsort(token)
-            token, owner = token[order], owner[order]
-            serial += 1
-            batch = TaskContext.get().partitionId() << 24 | serial
-            ids = pdf["doc_id"]
-            rows = []
-            edges = np.searchsorted(token, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
-            for k in range(buckets):
-                if edges[k] < edges[k + 1]:
-                    rows.append((k, batch, pack(token[edges[k] : edges[k + 1]], owner[edges[k] : edges[k + 1]])))
-            known = ids.notna().to_numpy()
-            rows.append((-1 - batch % buckets, batch, pack(np.arange(n, dtype=np.uint32), ids.fillna(0).to_numpy(np.int64), known.astype(np.uint8), size, cls, chosen.astype(np.uint8))))
-            yield pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
+        for whole in batches:
+            for ids, known, texts in text_units(whole, UNIT):
+                n = len(texts)
+                size, cls = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+                tokens, owners = [], []
+                for a, b in chunks(texts):
+                    who, token = shingle_sets(texts[a:b])
+                    at, first, counts = np.unique(who, return_index=True, return_counts=True)
+                    if len(at):
+                        at = at.astype(np.int64) + a
+                        size[at] = counts
+                        with np.errstate(over="ignore"):
+                            cls[at] = mix64(np.add.reduceat(mix64(token + np.uint64(7)), first) + counts.astype(np.uint64))
+                    tokens.append(token)
+                    owners.append(who.astype(np.uint32) + np.uint32(a))
+                token, owner = np.concatenate(tokens), np.concatenate(owners)
+                del tokens, owners, texts
+                _, rep = np.unique(cls, return_index=True)
+                chosen = np.zeros(n, bool)
+                chosen[rep] = True
+                keep = chosen[owner]
+                token, owner = token[keep], owner[keep]
+                order = np.argsort(token)
+                token, owner = token[order], owner[order]
+                serial += 1
+                batch, names, blobs = TaskContext.get().partitionId() << 24 | serial, [], []
+                edges = np.searchsorted(token, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
+                for k in range(buckets):
+                    if edges[k] < edges[k + 1]:
+                        names.append(k)
+                        blobs.append(pack(token[edges[k] : edges[k + 1]], owner[edges[k] : edges[k + 1]]))
+                names.append(-1 - batch % buckets)
+                blobs.append(pack(np.arange(n, dtype=np.uint32), ids, known, size, cls, chosen.astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([batch] * len(names), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
 
@@ -211,7 +213,26 @@ def light_boundary(costs: list[tuple[int, float]]) -> int:
     return best
 
 
-def _keys(largest: int):
+def runs_of(key: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Sorts size intervals by key and size and joins those of one key whose sizes are compatible.
+
+    Gives the sorted arrays, the edges between neighbours of a run and the first entry of each run.
+    """
+    order = np.lexsort((cls, high, low, key))
+    key, cls, low, high = key[order], cls[order], low[order], high[order]
+    if not len(key):
+        return key, cls, low, high, np.zeros(0, bool), np.zeros(0, np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(new) - 1
+    reach = np.maximum.accumulate(high + group * (1 << 32)) - group * (1 << 32)  # the running maximum within a key
+    link = ~new[1:] & (reach[:-1] * DENOMINATOR >= low[1:] * NUMERATOR)
+    return key, cls, low, high, link, np.flatnonzero(np.concatenate([[True], ~link]))
+
+
+def _keys(largest: int, buckets: int):
+    """Keys of sets as rows (bucket, key, cls, low, high): one per key and run of sizes of a sender; and the sender's own edges (cls, other)."""
+    columns = ["k", "key", "cls", "low", "high", "other"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = -(-NUMERATOR * (largest + 1) // DENOMINATOR)
         for pdf in batches:
@@ -229,7 +250,13 @@ def _keys(largest: int):
                 cls.append(np.full(len(own), c, np.int64))
                 sizes.append(np.full(len(own), size, np.int64))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "cls": np.concatenate(cls), "size": np.concatenate(sizes)})
+                size = np.concatenate(sizes)
+                key, cls_, low, high, link, first = runs_of(np.concatenate(keys).view(np.int64), np.concatenate(cls), size, size)
+                star = stars(cls_[:-1][link], cls_[1:][link])
+                out = pd.DataFrame({"key": key[first], "cls": cls_[first], "low": low[first], "high": np.maximum.reduceat(high, first) if len(first) else high, "other": 0})
+                out["k"] = (mix64(out["key"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                yield out[columns]
+                yield pd.DataFrame({"k": -1 - star["a"] % buckets, "key": 0, "cls": star["a"], "low": 0, "high": 0, "other": star["b"]})[columns]
 
     return run
 
@@ -256,11 +283,10 @@ def stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 def _families(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket of keys: sets of one key, in order of size, follow each other while sizes are compatible."""
-    key, cls, size = (pdf[c].to_numpy() for c in ("key", "cls", "size"))
-    order = np.lexsort((cls, size, key))
-    key, cls, size = key[order], cls[order], size[order]
-    link = (key[1:] == key[:-1]) & (size[:-1] * DENOMINATOR >= size[1:] * NUMERATOR) & (cls[1:] != cls[:-1])
+    """Per bucket of keys: runs of one key and compatible sizes are joined; edges of the senders pass."""
+    if pdf["k"].iloc[0] < 0:
+        return stars(pdf["cls"].to_numpy(), pdf["other"].to_numpy())
+    _, cls, _, _, link, _ = runs_of(*(pdf[c].to_numpy() for c in ("key", "cls", "low", "high")))
     return stars(cls[:-1][link], cls[1:][link])
 
 
@@ -315,7 +341,7 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = 2 * parts
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_send(buckets), "bucket int, batch long, blob binary")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets), "bucket int, batch long, blob binary")
     back = sent.groupBy("bucket").applyInPandas(_shared, "batch long, docs boolean, blob binary")
     rows = materialize(back.groupBy("batch").applyInPandas(_documents, "doc_id long, n_shingles long, cls long, tokens binary, mean_list double"), "documents")
 
@@ -323,8 +349,8 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     costs = open_.filter(F.col("n_shingles") <= LARGEST_LIGHT).groupBy("n_shingles").agg(F.avg("mean_list")).collect()  # at most LARGEST_LIGHT rows
     largest = light_boundary([(r[0], r[1]) for r in costs])
     sets = materialize(open_.dropDuplicates(["cls"]).select("cls", "n_shingles", "tokens"), "sets")
-    keys = sets.repartition(parts, "cls").mapInPandas(_keys(largest), "key long, cls long, size long")
-    near = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("k")).applyInPandas(_families, "a long, b long")
+    keys = sets.repartition(parts, "cls").mapInPandas(_keys(largest, buckets), "k long, key long, cls long, low long, high long, other long")
+    near = keys.groupBy("k").applyInPandas(_families, "a long, b long")
     family = components(near)
 
     sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -347,10 +373,10 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group: the one whose id is the group's; of equal ids one row."""
-    first = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    first = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sylva_d")).distinct()
+    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__sylva_d"))).drop("__sylva_d")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return kept.withColumn("__sylva_n", F.row_number().over(order)).filter("__sylva_n = 1").drop("__sylva_n")
 
 
 def digest(docs: DataFrame) -> DataFrame:
