@@ -151,7 +151,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Texts and findings meet by doc_id and content hash; overlapping findings are replaced as one.
     """
-    hits = scan_versions(docs).filter(F.size("found") > 0).select(F.col("path").alias("_p"), F.col("blob").alias("_b"), F.col("found").alias("_f")).distinct()
+    hits = scan_versions(docs).filter(F.size("found") > 0).select(F.col("path").alias("__sylva_p"), F.col("blob").alias("__sylva_b"), F.col("found").alias("__sylva_f")).distinct()
 
     def cut(x: Column) -> Column:
         text, found = x["t"], x["f"]
@@ -164,9 +164,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    wide = docs.withColumn("_key", key).join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("_key") == F.col("_b")), "left")
-    clean = F.when(F.col("_f").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("_f").alias("f")), cut))
+    wide = docs.withColumn("__sylva_key", key).join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__sylva_p")) & (F.col("__sylva_key") == F.col("__sylva_b")), "left")
+    clean = F.when(F.col("__sylva_f").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("__sylva_f").alias("f")), cut))
     out = wide.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_f").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__sylva_f").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
