@@ -216,6 +216,18 @@ def slashify(s: Column, how: str = "UNICODE") -> Column:
     return slashed(s)
 
 
+def escape_blocks(s: Column, blocks: list[tuple[int, int]], above: int | None = None, base: int = 16, pad: int = 4, names: bool = True) -> Column:
+    """References for the characters of some code-point ranges (scripts), and for all above a threshold."""
+    parts = [f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in blocks] + ([f"{re.escape(chr(above + 1))}-\U0010ffff"] if above is not None else [])
+    pattern = "[" + "".join(parts) + "]" if parts else "(?!)"
+
+    @F.pandas_udf(StringType())
+    def escaped(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: re.sub(pattern, lambda m: char_reference(ord(m[0]), base, pad, True, names), v), na_action="ignore")
+
+    return escaped(s)
+
+
 def char_of(cp: Column) -> Column:
     """The character of a code point (``chr`` of Spark is modulo 256)."""
     return F.decode(F.unhex(F.lpad(F.hex(cp.cast("int")), 8, "0")), "UTF-32")

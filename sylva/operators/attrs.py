@@ -95,8 +95,13 @@ def set_attribute(forest: DataFrame, where: Column, name: str, value: Column | s
     return forest.withColumn("attrs", F.when(where & (F.col("node_type") == 1), F.when(have, replaced).otherwise(F.concat("attrs", F.array(new)))).otherwise(F.col("attrs")))
 
 
-def remove_attribute(forest: DataFrame, where: Column, name: str) -> DataFrame:
-    return forest.withColumn("attrs", F.when(where, F.filter("attrs", lambda x: x["name"] != name)).otherwise(F.col("attrs")))
+def remove_attribute(forest: DataFrame, where: Column, name: str, ns_uri: str | None = None) -> DataFrame:
+    """Silent where it is absent; with a namespace ``name`` is the local name."""
+
+    def stays(x: Column) -> Column:
+        return x["name"] != name if ns_uri is None else ~((x["local"] == name) & x["ns_uri"].eqNullSafe(ns_uri))
+
+    return forest.withColumn("attrs", F.when(where, F.filter("attrs", stays)).otherwise(F.col("attrs")))
 
 
 def clear_attributes(forest: DataFrame, where: Column) -> DataFrame:

@@ -30,7 +30,8 @@ class ShredOptions:
     ``mode`` is ``xml`` (well-formedness is checked) or ``html`` (tag soup: the rules of
     ``shred`` repair it).  ``on_error``: ``permissive`` gives an error row and no nodes for
     the document, ``failfast`` raises.  ``fragment`` allows any number of top nodes.
-    ``keep_space``: whether white-space-only text is kept.  ``extra`` holds the options
+    ``keep_space``: whether white-space-only text is kept.  ``resolved`` maps system
+    identifiers to the text of external entities, as ``resolve_entities`` reads them on the driver.  ``extra`` holds the options
     of ``BASE_OPTIONS`` and ``EXTENSION_OPTIONS``.
     """
 
@@ -39,6 +40,7 @@ class ShredOptions:
     fragment: bool = False
     keep_space: bool = True
     max_depth: int = 10_000
+    resolved: dict = field(default_factory=dict)
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -54,6 +56,22 @@ class ShredOptions:
         return self.extra.get(name, BASE_OPTIONS.get(name, False))
 
 
+def resolve_entities(system_ids: list[str], dirs: list[str], net: bool = False) -> dict[str, str]:
+    """Texts of external entities found in permitted folders; never outside them, and nothing from the net unless a caller maps it."""
+    from pathlib import Path
+
+    out = {}
+    for name in system_ids:
+        if "://" in name and not name.startswith("file://"):
+            continue
+        for d in map(Path, dirs):
+            path = (d / name.removeprefix("file://").lstrip("/")).resolve()
+            if path.is_relative_to(d.resolve()) and path.is_file():
+                out[name] = path.read_text()
+                break
+    return out
+
+
 # Serializer options and defaults.
 FORMAT_DEFAULTS = {
     "depth": 0, "newl": "\n", "indent": "  ", "addindent": None, "stripTextNodes": False, "wrapTextAt": 0, "dropWS": False, "breakBB": True, "breakAB": False,

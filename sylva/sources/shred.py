@@ -232,6 +232,9 @@ class Shredder:
         if name in PREDEFINED:
             return PREDEFINED[name], False
         if self.dtd and (e := self.dtd.entity(name)):
+            if e["literal"] is None and self._permitted(e):
+                found = re.sub(r"^<\?xml[^>]*\?>", "", self.options.resolved[e["system_id"]])
+                return found, "<" in found or "&" in found
             if e["literal"] is None:
                 raise ShredError(f"external entity {name} is not read", at, "entity")
             return self._literal(e["literal"], at), "<" in e["literal"] or "&" in e["literal"]
@@ -243,6 +246,11 @@ class Shredder:
             return m[0], False
         raise ShredError(f"undefined entity {name}", at, "entity")
 
+    def _permitted(self, e: dict) -> bool:
+        """External text is used if it was resolved beforehand and no option forbids it."""
+        where = e["system_id"] or ""
+        return where in self.options.resolved and not e["notation"] and self.options.get("extEntities") and ("://" not in where or where.startswith("file://") or self.options.get("netEntities"))
+
     def _literal(self, s: str, at: int) -> str:
         """Character references are replaced when an entity is declared."""
         return re.sub(r"&#(?:([0-9]+)|x([0-9A-Fa-f]+));", lambda m: chr(int(m[1]) if m[1] else int(m[2], 16)), s)
