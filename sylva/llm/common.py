@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -15,17 +16,39 @@ SEED = 20240601
 SPACES = " \t\n\x0b\f\r"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only for a local master that names none."""
+    """A new folder in the shared folder of the session; a local one only for a local master that names none.
+
+    Results read from it, so it stays until the driver ends.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/sylva-{uuid.uuid4().hex}"
+    _made.append((spark, f"{base.rstrip('/')}/sylva-{uuid.uuid4().hex}"))
+    return _made[-1][1]
+
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def materialize(df: DataFrame, name: str, keep: DataFrame | None = None) -> DataFrame:
+
+@atexit.register
+def _sweep() -> None:
+    """Deletes the scratch folders of a driver that ends before its session does."""
+    for spark, folder in _made:
+        try:
+            _delete(spark, folder)
+        except Exception:  # the session is gone: what is left is named sylva-*
+            return
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
@@ -35,12 +58,11 @@ def materialize(df: DataFrame, name: str, keep: DataFrame | None = None) -> Data
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
     for name in df.inputFiles()[:1]:
-        with contextlib.suppress(Exception):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            if "/sylva-" in path.toString():
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+        folder = name.rsplit("/", 2)[0]
+        if "/sylva-" in folder:
+            with contextlib.suppress(Exception):
+                _delete(df.sparkSession, folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
