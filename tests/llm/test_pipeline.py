@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from sylva.llm import packing
 from sylva.llm.common import materialize
-from test_operators import linked, measured, secret_spans
+from test_training import linked, measured, secret_spans
 
 SF = "/root/testdata/sf0.001"
 
