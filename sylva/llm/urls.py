@@ -30,7 +30,7 @@ FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels",
 
 
 def host_of(url: Column) -> Column:
-    rest = F.substring_index(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1), "\x00", 1)
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1)
     return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
