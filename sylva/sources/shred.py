@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.sources.dtd import Dtd, DtdError, parse_doctype
+from sylva.sources.dtd import DtdError, parse_doctype
 from sylva.sources.options import ShredOptions
 
 ERROR, ELEMENT, TEXT, PI, COMMENT = -1, 1, 3, 7, 8
