@@ -17,7 +17,10 @@ would need a row per byte, so suffixes are sampled so that nothing is missed:
    their common left context, and every part in which left and right context make
    ``LEAST`` bytes is a maximal repeat through the anchor with all its occurrences.
    All but its earliest occurrence go.
-4. Spans return to the texts, are united and cut.
+4. A gram of more than ``HOT`` occurrences would be one large task.  Its windows are
+   fingerprinted (64 bits) at the sender instead, which keeps the earliest of each and
+   marks the rest; the earliest over all senders is an aggregate over fingerprints.
+5. Spans return to the texts, are united and cut.
 
 Texts travel compressed, ``UNIT`` bytes to a row, and are kept once in a scratch table.
 
@@ -33,16 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.blobs import chunks, mix64, pack, unpack
+from sylva.llm.blobs import chunks, mix64, pack, text_units, unpack
 from sylva.llm.common import materialize, shuffle_partitions
 
 LEAST = 100
 GRAM = 32
 REACH = LEAST - GRAM
 UNIT = 8 << 20
+#: Occurrences from which on a gram's windows are compared by fingerprint instead of its contexts in one place.
+HOT = 50_000
 BITS = 48
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -98,31 +104,31 @@ def _texts(blob: bytes, lengths: np.ndarray) -> list[bytes]:
 def _send(buckets: int):
     """Per unit of text: its texts (bucket -1), and one row of anchors for each bucket."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("blob", pa.binary()), ("texts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = 0
-        for pdf in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
-            ids, known = pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["doc_id"].notna().to_numpy(np.uint8)
-            for first, end in chunks(texts, UNIT):
+        for batch in batches:
+            for ids, known, texts in text_units(batch, UNIT):
                 serial += 1
-                unit, some, rows, parts = TaskContext.get().partitionId() << 24 | serial, texts[first:end], [], []
-                for a, b in chunks(some):
-                    gram, who, at = anchors(some[a:b])
+                unit, parts = TaskContext.get().partitionId() << 24 | serial, []
+                for a, b in chunks(texts):
+                    gram, who, at = anchors(texts[a:b])
                     parts.append((gram, who + np.uint32(a), at))
                 gram, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 order = np.argsort(gram, kind="stable")
                 gram, who, at = gram[order], who[order], at[order]
                 edges = np.searchsorted(gram, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
-                rows.append((-1, unit, pack(np.arange(end - first, dtype=np.uint32), ids[first:end], known[first:end], np.array([len(t) for t in some], np.int64)), _shrink(some)))
+                rows = [(-1, unit, pack(np.arange(len(texts), dtype=np.uint32), ids, known, np.array([len(t) for t in texts], np.int64)), _shrink(texts))]
                 rows += [(k, unit, pack(gram[edges[k] : edges[k + 1]], who[edges[k] : edges[k + 1]], at[edges[k] : edges[k + 1]]), None) for k in range(buckets) if edges[k] < edges[k + 1]]
-                yield pd.DataFrame(rows, columns=["bucket", "unit", "blob", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _frequent(pdf: pd.DataFrame) -> pd.DataFrame:
+def _frequent(pdf: pd.DataFrame, bound: int) -> pd.DataFrame:
     """Per bucket: anchors whose gram occurs twice or more, back to their units."""
     parts = [unpack(b) for b in pdf["blob"]]
     gram, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -131,19 +137,58 @@ def _frequent(pdf: pd.DataFrame) -> pd.DataFrame:
     gram, who, at, source = gram[order], who[order], at[order], source[order]
     new = np.flatnonzero(np.diff(gram, prepend=gram[0] + np.uint64(1)))
     count = np.diff(new, append=len(gram))
-    many = np.repeat(count, count) > 1
-    gram, who, at, source = gram[many], who[many], at[many], source[many]
+    count = np.repeat(count, count)
+    many = count > 1
+    gram, who, at, source, hot = gram[many], who[many], at[many], source[many], (count[many] > bound).astype(np.uint8)
     order = np.argsort(source, kind="stable")
     edges, units, rows = np.searchsorted(source[order], np.arange(len(parts) + 1)), pdf["unit"].to_numpy(), []
     for k in range(len(parts)):
         o = order[edges[k] : edges[k + 1]]
         if len(o):
-            rows.append((units[k], pack(gram[o], who[o], at[o])))
+            rows.append((units[k], pack(gram[o], who[o], at[o], hot[o])))
     return pd.DataFrame(rows, columns=["unit", "blob"])
 
 
-def _contexts(buckets: int):
-    """Per unit: the contexts of its frequent anchors by bucket; spans that repeat within the unit (bucket -1)."""
+def window_hashes(text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, bytes left of the anchor, fingerprint) of every window of ``LEAST`` bytes through the anchor of a context."""
+    base, n = 0xD1342543DE82EF95, REACH + LEAST
+    powers = [1]
+    for _ in range(n):
+        powers.append(powers[-1] * base & (1 << 64) - 1)
+    inverse = pow(base, -1, 1 << 64)
+    who, before, found = [], [], []
+    with np.errstate(over="ignore"):
+        for a in range(0, len(text), 10_000):
+            some = text[a : a + 10_000]
+            total = np.zeros((len(some), n + 1), np.uint64)
+            np.cumsum(_TABLE[some] * np.array(powers[:-1], np.uint64), axis=1, out=total[:, 1:])
+            for l in range(REACH + 1):
+                ok = np.flatnonzero((left[a : a + 10_000] >= l) & (right[a : a + 10_000] >= LEAST - l))
+                first = REACH - l
+                h = (total[ok, first + LEAST] - total[ok, first]) * np.uint64(pow(inverse, first, 1 << 64))
+                who.append(ok + a)
+                before.append(np.full(len(ok), l))
+                found.append(mix64(h))
+    return np.concatenate(who), np.concatenate(before), np.concatenate(found)
+
+
+def later_windows(mark: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows by fingerprint and place, each place once, and which of them have an earlier equal window."""
+    order = np.lexsort((start, row, doc, mark))
+    m, r, s = mark[order], row[order], start[order]
+    order = order[np.concatenate([[True], (m[1:] != m[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])])[: len(m)]]
+    m, d, r = mark[order], doc[order], row[order]
+    new = np.diff(m, prepend=m[:1] + np.uint64(1)) != 0 if len(m) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
+    previous = np.concatenate([[False], (r[1:] == r[:-1]) & ~new[1:]]) if len(m) else np.zeros(0, bool)
+    return order, ~new & ((d[lead] < d) | previous)
+
+
+def _contexts(buckets: int, every: bool = False):
+    """Per unit: the contexts of its frequent anchors by bucket, windows of hot ones by bucket (from ``buckets`` on), and spans that repeat within the unit (bucket -1).
+
+    ``every`` sends equal contexts of the unit too.
+    """
 
     def run(corpus: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -153,11 +198,12 @@ def _contexts(buckets: int):
             whole = np.frombuffer(b"\0" * REACH + b"".join(_texts(corpus["texts"].iloc[0], lengths)) + b"\0" * LEAST, np.uint8)
             begin = np.cumsum(lengths) - lengths
             parts = [unpack(b) for b in back["blob"]]
-            gram, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            order = np.lexsort((at, who, np.where(known[who], ids[who], np.iinfo(np.int64).max), gram))
-            gram, who, at = gram[order], who[order].astype(np.int64), at[order].astype(np.int64)
+            gram, who, at, hot = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            doc = np.where(known, ids, np.iinfo(np.int64).max)
+            order = np.lexsort((at, who, doc[who], gram))
+            gram, who, at, hot = gram[order], who[order].astype(np.int64), at[order].astype(np.int64), hot[order] > 0
             left, right = np.minimum(at, REACH), np.minimum(lengths[who] - at, LEAST)
-            spans = []
+            spans, windows_of = [], []
             edges = np.searchsorted(gram, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
             windows = np.lib.stride_tricks.sliding_window_view(whole, REACH + LEAST)
             place = np.arange(REACH + LEAST)
@@ -173,10 +219,27 @@ def _contexts(buckets: int):
                 # an equal context further left or in a smaller id; of equal ids only the same row counts
                 lead = first[same]
                 w = who[s]
-                earlier = later & ((known[w] != known[w[lead]]) | (ids[w] != ids[w[lead]]) | (w == w[lead]))
+                earlier = later & ((doc[w] != doc[w[lead]]) | (w == w[lead])) & (not every)
                 spans.append((w[earlier], (at - left)[s][earlier], (at + right)[s][earlier]))
-                keep = np.flatnonzero(~earlier)
-                rows.append((k, unit, pack(gram[s][keep], w[keep].astype(np.uint32), at[s][keep].astype(np.uint32), ids[w][keep], known[w][keep], left[s][keep].astype(np.uint8), right[s][keep].astype(np.uint8), level=1) , _shrink([text[keep].tobytes()])))
+                burning = np.flatnonzero(~earlier & hot[s])
+                if len(burning):
+                    of, before, mark = window_hashes(text[burning], left[s][burning], right[s][burning])
+                    windows_of.append((mark, w[burning][of], at[s][burning][of] - before))
+                keep = np.flatnonzero(~earlier & ~hot[s])
+                if not len(keep):
+                    continue
+                rows.append((k, unit, pack(gram[s][keep], w[keep].astype(np.uint32), at[s][keep].astype(np.uint32), ids[w][keep], known[w][keep], left[s][keep].astype(np.uint8), right[s][keep].astype(np.uint8)), _shrink([text[keep].tobytes()])))
+            if windows_of:
+                mark, w, start = (np.concatenate(x) for x in zip(*windows_of, strict=True))
+                order, gone = later_windows(mark, doc[w], w, start)
+                spans.append((w[order[gone]], start[order[gone]], start[order[gone]] + LEAST))
+                o = order[~gone]
+                mark, w, start = mark[o], w[o], start[o]
+                edges = np.searchsorted(mark, np.array([min((k << 64) // buckets, (1 << 64) - 1) for k in range(buckets)], dtype=np.uint64)).tolist() + [len(mark)]
+                for k in range(buckets):
+                    t = slice(edges[k], edges[k + 1])
+                    if edges[k] < edges[k + 1]:
+                        rows.append((buckets + k, unit, pack(mark[t], w[t].astype(np.uint32), start[t].astype(np.uint32), ids[w[t]], known[w[t]]), None))
             spans = [np.concatenate(x) for x in zip(*spans, strict=True)]
             if len(spans[0]):
                 rows.append((-1, unit, pack(*[x.astype(np.uint32) for x in spans]), None))
@@ -228,25 +291,42 @@ class Contexts:
         """Whether a is earlier than b."""
         return (self.doc[a] < self.doc[b]) | ((self.row[a] == self.row[b]) & (self.at[a] < self.at[b]))
 
+    def _scan(self) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """Maximal repeats of two neighbours as rows (first member, left, right), and those of more members.
+
+        Most intervals have two members: how far those agree to the left is computed for all neighbours at once.
+        """
+        pairs, larger = [], []
+        if len(self.gram):
+            agree = _common(self.back[1:], self.back[:-1], np.minimum(self.left[1:], self.left[:-1]))
+            start = np.flatnonzero(np.diff(self.gram, prepend=~self.gram[0]))
+            size = np.diff(start, append=len(self.gram))
+            two = start[size == 2]
+            pairs = [np.stack([two, agree[two], self.lcp[two]], axis=1)]
+            some, flat = [], agree.tolist()
+            for first, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                for depth, _, a, b in lcp_intervals(self.lcp[first : first + n - 1].tolist()):
+                    if b - a == 1:
+                        some.append((first + a, flat[first + a], depth))
+                    else:
+                        larger += self._extended(np.arange(first + a, first + b + 1), depth)
+            if some:
+                pairs.append(np.array(some))
+        both = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        return both[both[:, 1] + both[:, 2] >= LEAST], larger
+
     def repeats(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(left, right, members) of maximal repeats of ``LEAST`` bytes or more, members earliest first.
 
         The members of a repeat are all its occurrences; left and right are its lengths around the anchor.
         """
-        same = np.flatnonzero(np.diff(self.gram, prepend=~self.gram[0])) if len(self.gram) else np.zeros(0, np.int64)
-        size = np.diff(same, append=len(self.gram))
-        two = same[size == 2]
-        if len(two):  # one interval of two members: its left extension ends where they differ
-            least = np.minimum(self.left[two], self.left[two + 1])
-            ext = _common(self.back[two], self.back[two + 1], least)
-            for i, l, r in zip(two, ext, self.lcp[two], strict=True):
-                if l + r >= LEAST:
-                    yield int(l), int(r), np.array([i, i + 1] if self.rank[i] < self.rank[i + 1] else [i + 1, i])
-        for first, n in zip(same[size > 2], size[size > 2], strict=True):
-            for depth, above, a, b in lcp_intervals(self.lcp[first : first + n - 1].tolist()):
-                yield from self._extended(np.arange(first + a, first + b + 1), depth, above)
-
-    def _extended(self, members: np.ndarray, depth: int, above: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        pairs, larger = self._scan()
+        for i, l, r in pairs.tolist():
+            yield l, r, np.array([i, i + 1] if self.rank[i] < self.rank[i + 1] else [i + 1, i])
+        yield from larger
+
+    def _extended(self, members: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The maximal repeats of one interval: its members split by their common left context."""
         need = LEAST - depth
         if need > REACH:
             return
@@ -263,27 +343,30 @@ class Contexts:
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(member, start, end): every occurrence of a repeat but the earliest."""
-        out = []
-        for l, r, part in self.repeats():
+        pairs, larger = self._scan()
+        i, l, r = pairs.T
+        lead = np.where(self.rank[i] < self.rank[i + 1], i, i + 1) if len(i) else i
+        late = 2 * i + 1 - lead
+        ok = self.earlier(lead, late)
+        who, before, after = [late[ok]], [l[ok]], [r[ok]]
+        for l, r, part in larger:
             late = self.earlier(part[0], part[1:])
             if not late.all():  # equal ids: only what is earlier in the same row counts
                 for k in np.flatnonzero(~late):
                     late[k] = self.earlier(part[: k + 1], part[k + 1]).any()
-            out.append((part[1:][late], l, r))
-        if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
-        who = np.concatenate([x[0] for x in out])
-        n = [len(x[0]) for x in out]
-        return self.order[who], self.at[who] - np.repeat([x[1] for x in out], n), self.at[who] + np.repeat([x[2] for x in out], n)
-
-
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket of contexts: repeat spans for their units; spans found earlier pass."""
-    if pdf["bucket"].iloc[0] < 0:
-        return pdf[["unit", "blob"]]
+            part = part[1:][late]
+            who.append(part)
+            before.append(np.full(len(part), l))
+            after.append(np.full(len(part), r))
+        who = np.concatenate(who)
+        return self.order[who], self.at[who] - np.concatenate(before), self.at[who] + np.concatenate(after)
+
+
+def _received(pdf: pd.DataFrame):
+    """The contexts of a bucket whose gram is there twice, as an enhanced suffix array; with the sender of each."""
     import zstandard
 
-    cols, texts, units = [], [], pdf["unit"].to_numpy()
+    cols, texts = [], []
     for blob, text in zip(pdf["blob"], pdf["texts"], strict=True):
         cols.append(unpack(blob))
         n = len(cols[-1][0])
@@ -295,19 +378,45 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
     gram, who, at, ids, known, left, right, source, text = (x[some] for x in (gram, who, at, ids, known, left, right, source, text))
-    if not len(gram):
-        return pd.DataFrame({"unit": pd.Series(dtype="int64"), "blob": pd.Series(dtype="object")})
     doc = np.where(known == 1, ids, np.iinfo(np.int64).max)
-    row = source.astype(np.int64) << 32 | who.astype(np.int64)
-    member, start, end = Contexts(gram, text, left, right, doc, row, at.astype(np.int64)).spans()
-    order = np.lexsort((end, start, who[member], source[member]))
-    member, start, end = member[order], start[order], end[order]
-    edges, rows = np.searchsorted(source[member], np.arange(len(units) + 1)), []
-    for k in range(len(units)):
-        s = slice(edges[k], edges[k + 1])
-        if edges[k] < edges[k + 1]:
-            rows.append((units[k], pack(who[member[s]].astype(np.uint32), start[s].astype(np.uint32), end[s].astype(np.uint32))))
-    return pd.DataFrame(rows, columns=["unit", "blob"])
+    return Contexts(gram, text, left, right, doc, source.astype(np.int64) << 32 | who.astype(np.int64), at.astype(np.int64)), source, who
+
+
+def _match(buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Per bucket of contexts or windows: repeat spans for their units; spans found at the sender pass."""
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf[["unit", "blob"]]
+        if pdf["bucket"].iloc[0] >= buckets:
+            parts = [unpack(b) for b in pdf["blob"]]
+            mark, who, at, ids, known = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            at = at.astype(np.int64)
+            order, gone = later_windows(mark, np.where(known == 1, ids, np.iinfo(np.int64).max), source.astype(np.int64) << 32 | who.astype(np.int64), at)
+            member = order[gone]
+            start, end = at[member], at[member] + LEAST
+        else:
+            contexts, source, who = _received(pdf)
+            member, start, end = contexts.spans()
+        order = np.lexsort((end, start, who[member], source[member]))
+        member, start, end = member[order], start[order], end[order]
+        units, rows = pdf["unit"].to_numpy(), []
+        edges = np.searchsorted(source[member], np.arange(len(units) + 1))
+        for k in range(len(units)):
+            s = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                rows.append((units[k], pack(who[member[s]].astype(np.uint32), start[s].astype(np.uint32), end[s].astype(np.uint32))))
+        return pd.DataFrame(rows, columns=["unit", "blob"])
+
+    return run
+
+
+def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    contexts, _, _ = _received(pdf)
+    rows = []
+    for l, r, part in contexts.repeats():
+        rows.append((int(l + r), [{"doc_id": int(contexts.doc[k]), "start": int(contexts.at[k] - l)} for k in part]))
+    return pd.DataFrame(rows, columns=["length", "occurrences"])
 
 
 def united(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -350,20 +459,33 @@ def _cut(with_text: bool):
     return run
 
 
+def _exchanged(docs: DataFrame, hot: int, every: bool) -> tuple[DataFrame, DataFrame, int]:
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    wide = "bucket int, unit long, blob binary, texts binary"
+    sent = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets), wide), "units")
+    corpus = sent.filter("bucket < 0").select("unit", "blob", "texts")
+    frequent = lambda pdf: _frequent(pdf, hot)
+    back = sent.filter("bucket >= 0").select("bucket", "unit", "blob").groupBy("bucket").applyInPandas(frequent, "unit long, blob binary")
+    return corpus, corpus.groupBy("unit").cogroup(back.groupBy("unit")).applyInPandas(_contexts(buckets, every), wide), buckets
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """(length, occurrences): every maximal repeat around an anchor, within its reach, with all occurrences, earliest first.
+
+    A repeat that runs over several anchors is there once for each.
+    """
+    _, contexts, _ = _exchanged(docs, 1 << 62, True)
+    return contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(_groups, "length int, occurrences array<struct<doc_id:long,start:long>>")
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: sizes, removed runs, the digest of what is kept and, on request, its bytes (``kept``)."""
-    parts = shuffle_partitions(docs.sparkSession)
-    buckets = 2 * parts
-    wide = "bucket int, unit long, blob binary, texts binary"
-    sent = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_send(buckets), wide), "units")
-    corpus = sent.filter("bucket < 0").select("unit", "blob", "texts")
-    back = sent.filter("bucket >= 0").select("bucket", "unit", "blob").groupBy("bucket").applyInPandas(_frequent, "unit long, blob binary")
-    contexts = corpus.groupBy("unit").cogroup(back.groupBy("unit")).applyInPandas(_contexts(buckets), wide)
+    corpus, contexts, buckets = _exchanged(docs, HOT, False)
     deal = F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("unit"), F.lit(buckets))).otherwise(F.col("bucket"))
-    spans = contexts.withColumn("deal", deal).groupBy("deal").applyInPandas(_match, "unit long, blob binary")
+    spans = contexts.withColumn("deal", deal).groupBy("deal").applyInPandas(_match(buckets), "unit long, blob binary")
     return corpus.groupBy("unit").cogroup(spans.groupBy("unit")).applyInPandas(_cut(with_text), RESULT + (", kept binary" if with_text else ""))
 
 
