@@ -68,9 +68,12 @@ class ShredError(ValueError):
         self.offset, self.kind = offset, kind
 
 
-def fold(s: str, how) -> str:
+_FOLDS = {"FOLD": str.casefold, "LOWER": str.lower, "UPPER": str.upper}
+
+
+def folder(how):
     """Case handling by name: NONE, FOLD, LOWER or UPPER."""
-    return {"FOLD": str.casefold, "LOWER": str.lower, "UPPER": str.upper}.get(str(how).upper(), str)(s) if how else s
+    return _FOLDS.get(str(how).upper(), str) if how else str
 
 
 def unicode_name(name: str) -> str | None:
@@ -100,8 +103,10 @@ class Shredder:
         self.options = options or ShredOptions()
         self.html = self.options.mode == "html"
         get = self.options.get
-        self.element_fold = get("elementFold") or ("LOWER" if self.html else None)
-        self.attribute_fold = get("attributeFold") or ("LOWER" if self.html else None)
+        self.fold_element = folder(get("elementFold") or ("LOWER" if self.html else None))
+        self.fold_attribute = folder(get("attributeFold") or ("LOWER" if self.html else None))
+        self.fold_entity = folder(get("entityFold"))
+        self.omit_end, self.backslash, self.em_comment = get("omitEnd"), get("backslash"), get("emComment")
         self.html_names = self.html or get("htmlNames")
         self.quotes = _CURLY if get("curlyQuote") else _QUOTES
         self.extended = any(get(x) for x in ("unQuotedAttribute", "curlyQuote", "booleanAttribute", "bangAttribute"))
@@ -166,7 +171,7 @@ class Shredder:
                 self._pi(at)
             elif s.startswith("<!DOCTYPE", at) or self.html and s[at : at + 9].upper() == "<!DOCTYPE":
                 self._doctype(at)
-            elif self.options.get("emComment") and s.startswith("<!—", at):
+            elif self.em_comment and s.startswith("<!—", at):
                 end = s.find("—>", at + 3)
                 if end < 0:
                     raise ShredError("unclosed comment", at)
@@ -183,7 +188,7 @@ class Shredder:
         self.at = at + len(raw)
         if "]]>" in raw and not self.html:
             raise ShredError("]]> in text", at + raw.find("]]>"))
-        if self.options.get("backslash"):
+        if self.backslash:
             raw = _BACKSLASH.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)) if not m[4] else {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\"}[m[4]], raw)
         raw = raw.replace("\r\n", "\n").replace("\r", "\n") if "\r" in raw else raw
         amp = raw.find("&")
@@ -228,7 +233,7 @@ class Shredder:
                     return "�", False
                 raise ShredError(f"illegal character reference {m[0]}", at)
             return c, False
-        name = fold(m[3], self.options.get("entityFold"))
+        name = self.fold_entity(m[3])
         if name in PREDEFINED:
             return PREDEFINED[name], False
         if self.dtd and (e := self.dtd.entity(name)):
@@ -408,7 +413,7 @@ class Shredder:
         s = self.s
         if m := _LOOSE_END.match(s, at):
             self.at = m.end()
-            name = fold(m[1], self.element_fold)
+            name = self.fold_element(m[1])
             if any(o.tag == name for o in self.stack):
                 self._flush()
                 while self.stack[-1].tag != name:
@@ -421,7 +426,7 @@ class Shredder:
             self.at = at + 1
             return
         self.at = m.end()
-        name, body = fold(m[1], self.element_fold), m[2]
+        name, body = self.fold_element(m[1]), m[2]
         if len(self.stack) > 1:
             for shut, inside in ((({"p"} if name in BLOCKS else set()), CONTAINERS["p"]), (CLOSES.get(name, set()), CONTAINERS.get(name, frozenset()))):
                 if not shut:
@@ -437,7 +442,7 @@ class Shredder:
         attrs = [(a[1], next((x for x in (a[2], a[3], a[4]) if x is not None), "")) for a in _LOOSE_ATTR.finditer(body.rstrip().rstrip("/"))]
         seen: dict[str, str] = {}
         for k, v in attrs:
-            seen.setdefault(fold(k, self.attribute_fold), v)
+            seen.setdefault(self.fold_attribute(k), v)
         self._start(name, list(seen.items()), name in VOID or body.endswith("/") and name not in RAW and name not in BLOCKS, at)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(s, self.at)
@@ -493,8 +498,8 @@ class Shredder:
 
     def _start(self, raw: str, given: list[tuple[str, str]], empty: bool, at: int) -> None:
         self._flush()
-        name = fold(raw, self.element_fold)
-        if self.options.get("omitEnd") and self.dtd and len(self.stack) > 1:
+        name = self.fold_element(raw)
+        if self.omit_end and self.dtd and len(self.stack) > 1:
             while len(self.stack) > 1 and (d := self.dtd.element(self.stack[-1].tag)) and d["omit_end"] and not re.search(rf"(?<![\w.:-]){re.escape(name)}(?![\w.:-])|ANY", d["model"]):
                 self._pop()
         if len(self.stack) == 1:
@@ -504,7 +509,7 @@ class Shredder:
         if len(self.stack) > self.options.max_depth:
             raise ShredError("elements are nested too deeply", at)
         up = self.stack[-1]
-        pairs = [(fold(k, self.attribute_fold), self._value(v, at)) for k, v in given]
+        pairs = [(self.fold_attribute(k), self._value(v, at)) for k, v in given]
         if len({k for k, _ in pairs}) < len(pairs):
             raise ShredError(f"attribute given twice on {raw}", at)
         have, extra = {k for k, _ in pairs}, []
@@ -536,7 +541,7 @@ class Shredder:
 
     def _end(self, raw: str, at: int) -> None:
         self._flush()
-        name, get = fold(raw, self.element_fold), self.options.get
+        name, get = self.fold_element(raw), self.options.get
         if self.stack[-1].tag != name:
             open_ = [k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == name]
             if not open_:
