@@ -7,9 +7,9 @@ would need a row per byte, so suffixes are sampled so that nothing is missed:
 1. Anchors.  Of the ``GRAM``-byte grams in any ``LEAST``-byte window the least by hash
    is an anchor, so equal windows have equal anchors at equal places.  About one byte
    in 35 starts an anchor.
-2. Anchors are dealt by gram hash as packed integers; a gram that occurs once cannot
-   lie in a repeat.  The others return to their texts, which send each anchor's
-   context, the bytes that a window through it can reach.  Equal contexts of one
+2. Each sender deals its distinct grams by hash, with counts, as packed integers; a gram
+   that occurs once cannot lie in a repeat.  The others return to their texts, which
+   send each anchor's context, the bytes that a window through it can reach.  Equal contexts of one
    sender travel once; the later ones are repeats already.
 3. Per gram, the contexts are sorted as suffixes from the anchor (an enhanced suffix
    array with common-prefix lengths).  A stack scan yields the common-prefix
@@ -47,6 +47,8 @@ LEAST = 100
 GRAM = 32
 REACH = LEAST - GRAM
 UNIT = 8 << 20
+#: Contexts that are compared at once.
+ANCHORS = 1 << 16
 #: Occurrences from which on a gram's windows are compared by fingerprint instead of its contexts in one place.
 HOT = 50_000
 BITS = 48
@@ -85,6 +87,15 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(h[at]) >> np.uint64(64 - BITS), who.astype(np.uint32), (at - (ends[who] - np.array([len(t) for t in texts])[who])).astype(np.uint32)
 
 
+def unit_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of any number of texts, a few megabytes at a time."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
+    for a, b in chunks(texts):
+        gram, who, at = anchors(texts[a:b])
+        parts.append((gram, who + np.uint32(a), at))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+
 def _shrink(texts: list[bytes]) -> bytes:
     import zstandard
 
@@ -102,7 +113,7 @@ def _texts(blob: bytes, lengths: np.ndarray) -> list[bytes]:
 
 
 def _send(buckets: int):
-    """Per unit of text: its texts (bucket -1), and one row of anchors for each bucket."""
+    """Per unit of text: its texts (bucket -1), and one row of anchor grams for each bucket: a gram once, with its count."""
 
     schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("blob", pa.binary()), ("texts", pa.binary())])
 
@@ -113,39 +124,33 @@ def _send(buckets: int):
         for batch in batches:
             for ids, known, texts in text_units(batch, UNIT):
                 serial += 1
-                unit, parts = TaskContext.get().partitionId() << 24 | serial, []
-                for a, b in chunks(texts):
-                    gram, who, at = anchors(texts[a:b])
-                    parts.append((gram, who + np.uint32(a), at))
-                gram, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                order = np.argsort(gram, kind="stable")
-                gram, who, at = gram[order], who[order], at[order]
+                unit = TaskContext.get().partitionId() << 24 | serial
+                gram, count = np.unique(unit_anchors(texts)[0], return_counts=True)
                 edges = np.searchsorted(gram, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
                 rows = [(-1, unit, pack(np.arange(len(texts), dtype=np.uint32), ids, known, np.array([len(t) for t in texts], np.int64)), _shrink(texts))]
-                rows += [(k, unit, pack(gram[edges[k] : edges[k + 1]], who[edges[k] : edges[k + 1]], at[edges[k] : edges[k + 1]]), None) for k in range(buckets) if edges[k] < edges[k + 1]]
+                rows += [(k, unit, pack(gram[edges[k] : edges[k + 1]], count[edges[k] : edges[k + 1]].astype(np.uint32)), None) for k in range(buckets) if edges[k] < edges[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 def _frequent(pdf: pd.DataFrame, bound: int) -> pd.DataFrame:
-    """Per bucket: anchors whose gram occurs twice or more, back to their units."""
+    """Per bucket: grams that occur twice or more, and whether they are hot, back to the units that have them."""
     parts = [unpack(b) for b in pdf["blob"]]
-    gram, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    gram, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
     source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     order = np.argsort(gram, kind="stable")
-    gram, who, at, source = gram[order], who[order], at[order], source[order]
+    gram, n, source = gram[order], n[order].astype(np.int64), source[order]
     new = np.flatnonzero(np.diff(gram, prepend=gram[0] + np.uint64(1)))
-    count = np.diff(new, append=len(gram))
-    count = np.repeat(count, count)
-    many = count > 1
-    gram, who, at, source, hot = gram[many], who[many], at[many], source[many], (count[many] > bound).astype(np.uint8)
+    total = np.repeat(np.add.reduceat(n, new), np.diff(new, append=len(gram)))
+    many = total > 1
+    gram, source, hot = gram[many], source[many], (total[many] > bound).astype(np.uint8)
     order = np.argsort(source, kind="stable")
     edges, units, rows = np.searchsorted(source[order], np.arange(len(parts) + 1)), pdf["unit"].to_numpy(), []
     for k in range(len(parts)):
         o = order[edges[k] : edges[k + 1]]
         if len(o):
-            rows.append((units[k], pack(gram[o], who[o], at[o], hot[o])))
+            rows.append((units[k], pack(gram[o], hot[o])))
     return pd.DataFrame(rows, columns=["unit", "blob"])
 
 
@@ -195,10 +200,18 @@ def _contexts(buckets: int, every: bool = False):
         if len(corpus) and len(back):
             unit = int(corpus["unit"].iloc[0])
             _, ids, known, lengths = unpack(corpus["blob"].iloc[0])
-            whole = np.frombuffer(b"\0" * REACH + b"".join(_texts(corpus["texts"].iloc[0], lengths)) + b"\0" * LEAST, np.uint8)
+            texts = _texts(corpus["texts"].iloc[0], lengths)
+            gram, who, at = unit_anchors(texts)  # again: that costs less than to keep and send places
+            whole = np.frombuffer(b"\0" * REACH + b"".join(texts) + b"\0" * LEAST, np.uint8)
+            del texts
             begin = np.cumsum(lengths) - lengths
             parts = [unpack(b) for b in back["blob"]]
-            gram, who, at, hot = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            often, burns = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            order = np.argsort(often)
+            often, burns = often[order], burns[order]
+            spot = np.minimum(np.searchsorted(often, gram), len(often) - 1)
+            there = often[spot] == gram
+            gram, who, at, hot = gram[there], who[there], at[there], burns[spot[there]]
             doc = np.where(known, ids, np.iinfo(np.int64).max)
             order = np.lexsort((at, who, doc[who], gram))
             gram, who, at, hot = gram[order], who[order].astype(np.int64), at[order].astype(np.int64), hot[order] > 0
@@ -207,28 +220,42 @@ def _contexts(buckets: int, every: bool = False):
             edges = np.searchsorted(gram, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
             windows = np.lib.stride_tricks.sliding_window_view(whole, REACH + LEAST)
             place = np.arange(REACH + LEAST)
+            def same(at_: np.ndarray):
+                """Contexts of some anchors, and which of them have an equal one further left or in a smaller id (of equal ids only in the same row)."""
+                text = windows[begin[who[at_]] + at[at_]].copy()
+                text[(place < REACH - left[at_][:, None]) | (place >= REACH + right[at_][:, None])] = 0
+                seen = np.hstack([gram[at_].astype(">u8").view(np.uint8).reshape(-1, 8), text, left[at_].astype(np.uint8)[:, None], right[at_].astype(np.uint8)[:, None]])
+                _, first, back = np.unique(np.ascontiguousarray(seen).view(f"V{seen.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+                lead, w = at_[first[back]], who[at_]
+                return text, (lead != at_) & ((doc[w] != doc[who[lead]]) | (w == who[lead])) & (not every)
+
+            def mark_gone(at_: np.ndarray) -> None:
+                spans.append((who[at_], (at - left)[at_], (at + right)[at_]))
+
             for k in range(buckets):
-                s = slice(edges[k], edges[k + 1])
-                if edges[k] == edges[k + 1]:
+                s = np.arange(edges[k], edges[k + 1])
+                while len(s) > ANCHORS:  # many anchors of few contexts, as in long runs of one character
+                    blocks = [(part, same(part)[1]) for part in np.array_split(s, -(-len(s) // ANCHORS))]
+                    for part, earlier in blocks:
+                        mark_gone(part[earlier])
+                    was, s = len(s), np.concatenate([part[~earlier] for part, earlier in blocks])
+                    if 2 * len(s) > was:
+                        break
+                if not len(s):
                     continue
-                text = windows[begin[who[s]] + at[s]].copy()
-                text[(place < REACH - left[s][:, None]) | (place >= REACH + right[s][:, None])] = 0
-                seen = np.hstack([gram[s].astype(">u8").view(np.uint8).reshape(-1, 8), text, left[s].astype(np.uint8)[:, None], right[s].astype(np.uint8)[:, None]])
-                _, first, same = np.unique(np.ascontiguousarray(seen).view(f"V{seen.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
-                later = first[same] != np.arange(len(same))
-                # an equal context further left or in a smaller id; of equal ids only the same row counts
-                lead = first[same]
-                w = who[s]
-                earlier = later & ((doc[w] != doc[w[lead]]) | (w == w[lead])) & (not every)
-                spans.append((w[earlier], (at - left)[s][earlier], (at + right)[s][earlier]))
-                burning = np.flatnonzero(~earlier & hot[s])
+                text, earlier = same(s)
+                mark_gone(s[earlier])
+                kept, text = s[~earlier], text[~earlier]
+                burning = np.flatnonzero(hot[kept])
                 if len(burning):
-                    of, before, mark = window_hashes(text[burning], left[s][burning], right[s][burning])
-                    windows_of.append((mark, w[burning][of], at[s][burning][of] - before))
-                keep = np.flatnonzero(~earlier & ~hot[s])
-                if not len(keep):
+                    of, before, mark = window_hashes(text[burning], left[kept][burning], right[kept][burning])
+                    windows_of.append((mark, who[kept][burning][of], at[kept][burning][of] - before))
+                cold = np.flatnonzero(~hot[kept])
+                if not len(cold):
                     continue
-                rows.append((k, unit, pack(gram[s][keep], w[keep].astype(np.uint32), at[s][keep].astype(np.uint32), ids[w][keep], known[w][keep], left[s][keep].astype(np.uint8), right[s][keep].astype(np.uint8)), _shrink([text[keep].tobytes()])))
+                keep = kept[cold]
+                w = who[keep]
+                rows.append((k, unit, pack(gram[keep], w.astype(np.uint32), at[keep].astype(np.uint32), ids[w], known[w], left[keep].astype(np.uint8), right[keep].astype(np.uint8)), _shrink([text[cold].tobytes()])))
             if windows_of:
                 mark, w, start = (np.concatenate(x) for x in zip(*windows_of, strict=True))
                 order, gone = later_windows(mark, doc[w], w, start)

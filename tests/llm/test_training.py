@@ -186,6 +186,14 @@ def test_repeats_hot_passage(spark, monkeypatch):
         assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
 
 
+def test_repeats_in_blocks(spark, monkeypatch):
+    """Long runs of one character give an anchor per byte; their contexts are compared in blocks."""
+    monkeypatch.setattr(repeats, "ANCHORS", 50)
+    rows = [(1, "a" * 3000), (2, "b" * 150 + "a" * 700 + "c"), (3, "ab" * 400), (4, "xyz " * 30 + "a" * 90), (5, "ab" * 399 + "c")]
+    got = by_id(repeats.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == repeated(rows)
+
+
 def test_lcp_intervals():
     assert sorted(repeats.lcp_intervals([2, 3, 0, 1])) == [(1, 0, 3, 4), (2, 0, 0, 2), (3, 2, 1, 2)]
 
