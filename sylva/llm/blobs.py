@@ -46,6 +46,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
     n_cols, n = struct.unpack_from("<BI", blob)
     kinds = [np.dtype(blob[5 + 4 * k : 9 + 4 * k].decode().strip()) for k in range(n_cols)]
+    if not n:
+        return [np.zeros(0, k) for k in kinds]
     raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5 + 4 * n_cols :], max_output_size=n * sum(k.itemsize for k in kinds) or 1), np.uint8), 0, []
     for k, kind in enumerate(kinds):
         size = n * kind.itemsize

@@ -4,7 +4,7 @@ A document's set is its distinct word shingles (fingerprints of 48 bits).  Two s
 link when ``100 * intersection >= 80 * union``.  The join is exact on fingerprints:
 
 1. Documents with the same set are one class.  Senders drop equal sets before they send.
-2. Every (shingle, document) pair is dealt once by shingle, as packed integers.  A
+2. Every sender deals its distinct shingles by hash, with counts, as packed integers.  A
    shingle of a single class cannot be in any intersection and is dropped; the others
    return to their documents with their counts.  A set of which fewer than 80 % is
    shared has no partner and is finished.
@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _send(buckets: int):
     """Per unit of text: one row for each bucket of shingles, and one with the unit's documents (bucket below 0)."""
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()), ("extra", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,45 +130,49 @@ def _send(buckets: int):
                 chosen[rep] = True
                 keep = chosen[owner]
                 token, owner = token[keep], owner[keep]
-                order = np.argsort(token)
+                order = np.argsort(token, kind="stable")
                 token, owner = token[order], owner[order]
+                # a shingle of several documents here is sent once, with its count; its other owners wait with the documents
+                new = np.diff(token, prepend=~token[:1]) != 0
+                first = np.flatnonzero(new)
+                extra, count = pack(token[~new], owner[~new]), np.diff(first, append=len(token)).astype(np.uint32)
+                token, owner = token[first], owner[first]
                 serial += 1
                 batch, names, blobs = TaskContext.get().partitionId() << 24 | serial, [], []
                 edges = np.searchsorted(token, np.array([(k << BITS) // buckets for k in range(buckets + 1)], dtype=np.uint64))
                 for k in range(buckets):
                     if edges[k] < edges[k + 1]:
                         names.append(k)
-                        blobs.append(pack(token[edges[k] : edges[k + 1]], owner[edges[k] : edges[k + 1]]))
+                        blobs.append(pack(token[edges[k] : edges[k + 1]], owner[edges[k] : edges[k + 1]], count[edges[k] : edges[k + 1]]))
                 names.append(-1 - batch % buckets)
                 blobs.append(pack(np.arange(n, dtype=np.uint32), ids, known, size, cls, chosen.astype(np.uint8)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([batch] * len(names), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([batch] * len(names), pa.int64()), pa.array(blobs, pa.binary()), pa.array([None] * (len(names) - 1) + [extra], pa.binary())], schema=schema)
 
     return run
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket of shingles: those of two classes or more go back to their batches; document rows pass."""
+    """Per bucket of shingles: those of two classes or more go back to their batches with their counts; document rows pass."""
     if pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"batch": pdf["batch"], "docs": True, "blob": pdf["blob"]})
+        return pd.DataFrame({"batch": pdf["batch"], "docs": True, "blob": pdf["blob"], "extra": pdf["extra"]})
     parts = [unpack(b) for b in pdf["blob"]]
-    token, owner = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    token, owner, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
     source = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p[0]) for p in parts])
     del parts
     order = np.argsort(token, kind="stable")
-    token, owner, source = token[order], owner[order], source[order]
+    token, owner, source, n = token[order], owner[order], source[order], n[order].astype(np.int64)
     new = np.flatnonzero(np.diff(token, prepend=token[0] + np.uint64(1)))
-    count = np.diff(new, append=len(token))
-    count = np.repeat(count, count)
+    count = np.repeat(np.add.reduceat(n, new), np.diff(new, append=len(token)))
     many = count > 1
-    token, owner, source, count = token[many], owner[many], source[many], count[many].astype(np.uint32)
+    token, owner, source, count = token[many], owner[many], source[many], np.minimum(count[many], (1 << 32) - 1).astype(np.uint32)
     order = np.argsort(source, kind="stable")
     edges = np.searchsorted(source[order], np.arange(len(pdf) + 1))
     batches, rows = pdf["batch"].to_numpy(), []
     for k in range(len(pdf)):
         o = order[edges[k] : edges[k + 1]]
         if len(o):
-            rows.append((batches[k], False, pack(token[o], owner[o], count[o])))
-    return pd.DataFrame(rows, columns=["batch", "docs", "blob"])
+            rows.append((batches[k], False, pack(token[o], owner[o], count[o]), None))
+    return pd.DataFrame(rows, columns=["batch", "docs", "blob", "extra"])
 
 
 def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,6 +183,10 @@ def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
     tokens: list = [None] * len(ids)
     if parts:
         token, owner, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        more, whose = unpack(pdf[pdf["docs"]]["extra"].iloc[0])
+        order = np.argsort(token)
+        token, owner, count = token[order], owner[order], count[order]
+        token, owner, count = np.concatenate([token, more]), np.concatenate([owner, whose]), np.concatenate([count, count[np.searchsorted(token, more)]])
         order = np.lexsort((token, count, owner))
         token, owner, count = token[order], owner[order], count[order]
         at, first, n = np.unique(owner, return_index=True, return_counts=True)
@@ -341,8 +349,8 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = 2 * parts
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets), "bucket int, batch long, blob binary")
-    back = sent.groupBy("bucket").applyInPandas(_shared, "batch long, docs boolean, blob binary")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets), "bucket int, batch long, blob binary, extra binary")
+    back = sent.groupBy("bucket").applyInPandas(_shared, "batch long, docs boolean, blob binary, extra binary")
     rows = materialize(back.groupBy("batch").applyInPandas(_documents, "doc_id long, n_shingles long, cls long, tokens binary, mean_list double"), "documents")
 
     open_ = rows.filter("tokens is not null")
