@@ -66,7 +66,7 @@ def test_document_in_pieces(spark, tmp_path):
 
 
 def test_windows_as_streams(spark, tmp_path):
-    events = spark.readStream.schema(pipelines.EVENTS).parquet(f"{SF}/events.parquet")
+    events = spark.readStream.schema(pipelines.EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF)
     q = pipelines.tumbling(events).writeStream.outputMode("complete").format("memory").queryName("by_hour").trigger(availableNow=True).start()
     q.awaitTermination(120)
     at_rest = catalog.QUERIES["events_by_hour"](spark, SF)
