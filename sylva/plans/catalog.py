@@ -42,7 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(table(spark, sf_dir, "pages"), "page_id", "html", ShredOptions(mode="html"))
+    """The trees of all pages; a table of fewer splits than cores is dealt anew before the dear part."""
+    pages, cores = table(spark, sf_dir, "pages").select("page_id", "html"), spark.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores, "page_id")
+    return shred(pages, "page_id", "html", ShredOptions(mode="html"))
 
 
 def long(c, name: str):

@@ -40,4 +40,6 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(customer_documents(spark, sf_dir))
+    """The trees; texts are dealt to all tasks first, since small joins leave them in a few partitions and shredding is the dear part."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return shred(customer_documents(spark, sf_dir).repartition(parts, "doc_id"))
