@@ -2,15 +2,16 @@
 
 Patterns find protected entities (mail and network addresses, payment cards, phone
 numbers).  Corpus co-occurrence then tells which ordinary terms give an entity away:
-with document counts n(term) and window counts n(entity), n(entity, term) over N
-documents, a term's disclosure of an entity is its pointwise mutual information over
-the entity's information content,
+with the numbers n(term), n(entity) of documents that hold them and n(entity, term) of
+documents that hold the term near the entity, out of N documents, a term's disclosure of
+an entity is its pointwise mutual information over the entity's information content,
 
     log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e)),
 
 which is 1 when the term occurs nowhere else.  Near an entity that it discloses, a
-term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on.  Equal
-windows (copies) count once, and a pair needs ``SUPPORT`` windows.
+term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on.  Every pair is
+decided, those seen once included: most personal data are.  All counts are of documents,
+so copies raise them alike and a document's copies hide nothing.
 
 Shuffles: pairs near entities and their counts, pre-aggregated; no text moves.  Words
 of the whole corpus are counted once, pre-aggregated by sender, and kept for the terms
@@ -37,7 +38,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "phone": "+"}
 KINDS = tuple(PATTERNS)
-WINDOW, TERM_LENGTH, SUPPORT, GENERALISE, REMOVE = 80, 3, 3, 0.6, 0.8
+WINDOW, TERM_LENGTH, GENERALISE, REMOVE = 80, 3, 0.6, 0.8
 TERM = r"\p{L}{%d,}+" % TERM_LENGTH
 SPAN = "array<struct<start:int,end:int,m:string>>"
 
@@ -98,7 +99,7 @@ def entity(x: Column) -> Column:
 
 
 def neighbours(text: Column, spans: Column) -> Column:
-    """Whole terms within ``WINDOW`` code points of a span and outside all spans: (entity, window, term, start, end)."""
+    """Whole terms within ``WINDOW`` code points of a span and outside all spans: (entity, term, start, end)."""
 
     def around(x: Column) -> Column:
         first = F.greatest(x["start"] - WINDOW, F.lit(0))
@@ -106,7 +107,7 @@ def neighbours(text: Column, spans: Column) -> Column:
 
         def terms(w: Column) -> Column:
             whole = F.filter(located(w, TERM), lambda t: ((t["start"] > 0) | (first == 0)) & ((t["end"] < F.length(w)) | (first + F.length(w) >= F.length(text))))
-            moved = F.transform(whole, lambda t: F.struct(entity(x).alias("entity"), F.xxhash64(w).alias("window"), F.lower(t["m"]).alias("term"), (t["start"] + first).alias("start"), (t["end"] + first).alias("end")))
+            moved = F.transform(whole, lambda t: F.struct(entity(x).alias("entity"), F.lower(t["m"]).alias("term"), (t["start"] + first).alias("start"), (t["end"] + first).alias("end")))
             return F.filter(moved, lambda t: ~F.exists(spans, lambda y: (y["start"] < t["end"]) & (t["start"] < y["end"])))
 
         return let(window, terms)
@@ -124,9 +125,10 @@ def mentions(docs: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs from ``GENERALISE`` on, from counts over all documents."""
     n_docs = docs.count()
-    pairs = seen.filter("near is not null").select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.window").distinct()
-    joint = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT), "joint")
-    windows = pairs.groupBy("entity").agg(F.count_distinct("window").alias("n_e"))
+    pair = F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))
+    pairs = seen.filter("near is not null").select(F.explode(F.array_distinct(pair)).alias("x")).select("x.entity", "x.term")
+    joint = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "joint")
+    holders = seen.select(F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     wanted = materialize(joint.select(F.col("term").alias("wanted")).distinct(), "wanted")
     words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= TERM_LENGTH))).alias("term"))
     # counted before the join, so that the join's size is that of the vocabulary and not of the corpus
@@ -135,7 +137,7 @@ def disclosing(docs: DataFrame, seen: DataFrame) -> DataFrame:
     content = F.log(F.greatest(total / F.col("n_e"), F.lit(1.0 + 1e-9)))
     shared = F.log(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     score = F.least(shared / content, F.lit(1.0))
-    return joint.join(windows, "entity").join(counts, "term").select("entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return joint.join(holders, "entity").join(counts, "term").select("entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
 def all_spans(docs: DataFrame) -> DataFrame:

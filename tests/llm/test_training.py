@@ -73,6 +73,18 @@ def test_pii_disclosing_terms(spark):
     assert all(clean[i]["text"] == t for i, t in rows if i >= 100)
 
 
+def test_pii_entities_seen_once_or_in_copies(spark):
+    """One mention is enough to decide, and copies of a document do not hide its terms."""
+    rows = [(1, "the weather is fine and zanzibar knows bob@once.example in this report")]
+    rows += [(10 + i, "the weather is fine and quagmire knows eve@copied.example in this report") for i in range(60)]
+    rows += [(100 + i, f"the weather is {'very ' * (i % 7)}fine and who knows in this report {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, clean = by_id(pii.digest(df)), by_id(pii.sanitise(df))
+    assert clean[1]["text"] == "the weather is fine and  knows [email] in this report" and found[1]["n_terms"] == 1
+    assert all(clean[10 + i]["text"] == clean[1]["text"] for i in range(60))
+    assert all(clean[i]["text"] == t and found[i]["n_terms"] == 0 for i, t in rows if i >= 100)
+
+
 # -- 2 ---------------------------------------------------------------------------------
 
 
