@@ -35,7 +35,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.blobs import chunks, mix64, pack, text_units, unpack
@@ -380,11 +380,20 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one whose id is the group's; of equal ids one row."""
-    first = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sylva_d")).distinct()
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__sylva_d"))).drop("__sylva_d")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__sylva_n", F.row_number().over(order)).filter("__sylva_n = 1").drop("__sylva_n")
+    """One document of each group: the one of least id (nulls last, equal ids by hash of the text); of rows equal in id and text one.
+
+    Ids may be null or shared by different texts, so rows are told apart by id and text.
+    """
+    key, cols = F.xxhash64("doc_id", "text", F.isnull("doc_id"), F.isnull("text")), docs.columns
+    groups = join(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("k"), "component_id").distinct()
+    ids = docs.select(key.alias("k2"), F.col("doc_id").cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("k"))
+    first = groups.join(ids, F.col("k") == F.col("k2")).groupBy("component_id").agg(F.min_by("k", order).alias("__sylva_f")).select("__sylva_f")
+    # collapsed by each sender before the shuffle, so that a row that is repeated often gathers nowhere
+    content = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    whole = docs.select(key.alias("__sylva_k"), content.alias("__sylva_c"), F.struct(*[f"`{c}`" for c in cols]).alias("__sylva_r"))
+    one = whole.groupBy("__sylva_k").agg(F.min_by("__sylva_r", "__sylva_c").alias("__sylva_r"))
+    return one.join(first.hint("shuffle_hash"), F.col("__sylva_k") == F.col("__sylva_f")).select("__sylva_r.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

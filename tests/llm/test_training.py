@@ -323,6 +323,17 @@ def test_jaccard_keeps_one_of_each_group(docs, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in linked(texts).items() if i == c)
 
 
+def test_jaccard_keeps_texts_of_null_and_shared_ids(spark):
+    """Clean documents stay whatever their ids; a group's survivor is its own member; equal rows are one."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(10 + k)) for k in range(4)] + [(None, text(0))] * 3 + [(7, text(10))] * 3
+    rows += [(3, text(0) + " more"), (7, text(20)), (2, text(20) + " more"), (9, "")]
+    df = spark.createDataFrame([(i, t, f"s{k % 2}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_first(df).collect()), key=str)
+    want = [(3, text(0) + " more"), (2, text(20) + " more"), (9, "")] + [(None, text(k)) for k in range(1, 5)] + [(7, text(10 + k)) for k in range(4)]
+    assert got == sorted(want, key=str)
+
+
 def test_subsets_cover_every_light_pair():
     for a in range(1, 11):
         for b in range(a, 11):
