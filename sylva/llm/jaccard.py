@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.blobs import chunks, mix64, pack, text_units, unpack
 from sylva.llm.common import materialize, shuffle_partitions
-from sylva.llm.components import components
+from sylva.llm.components import components, stars
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -269,27 +269,6 @@ def _keys(largest: int, buckets: int):
     return run
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """A star per component of some edges, centred on its smallest node."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inv[: len(a)], inv[len(a) :]
-    label = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        before = label.copy()
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        np.minimum.at(label, before[x], low)
-        np.minimum.at(label, before[y], low)
-        label = label[label]
-        open_ = label[x] != label[y]
-        x, y = x[open_], y[open_]
-    while (label[label] != label).any():
-        label = label[label]
-    leaf = label != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[label[leaf]], "b": nodes[leaf]})
-
-
 def _families(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per bucket of keys: runs of one key and compatible sizes are joined; edges of the senders pass."""
     if pdf["k"].iloc[0] < 0:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from sylva.llm import ann, jaccard, mixing, packing, pii, quality, repeats, secrets, sharding, urls
+from sylva.llm import components as _components
 from sylva.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -342,9 +343,58 @@ def test_subsets_cover_every_light_pair():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200), (101, 100)]
+    for per_bucket in (1 << 20, 7):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), per_bucket).collect()}
+        assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["ascending", "random", "zigzag", "star of chains"])
+def test_components_of_long_chains(spark, kind, monkeypatch):
+    """Paths of 5,000 nodes in any order of names settle in a few levels, in one bucket and in many."""
+    rng, n = random.Random(3), 5000
+    names = list(range(n))
+    if kind == "random":
+        rng.shuffle(names)
+    if kind == "zigzag":
+        names = [k // 2 if k % 2 else n - 1 - k // 2 for k in range(n)]
+    edges = list(zip(names, names[1:])) if kind != "star of chains" else [(n - 1 if k % 50 == 0 else k - 1, k) for k in range(n - 1)]
+    levels = []
+    real = _components._hooked
+    monkeypatch.setattr(_components, "_hooked", lambda e: levels.append(1) or real(e))
+    for per_bucket in (1 << 20, 1000):
+        levels.clear()
+        got = components(spark.createDataFrame(edges, "a long, b long"), per_bucket).collect()
+        assert len(got) == n and {r["root"] for r in got} == {0} and len(levels) <= 13
+
+
+def test_stars_of_random_graphs():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        a, b = rng.integers(0, 60, (2, 40))
+        parent = {int(x): int(x) for x in {*a, *b}}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+        got = _components.stars(a, b)
+        assert dict(zip(got["b"], got["a"])) == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_jaccard_of_a_drifting_chain(spark):
+    """Versions of one page: each links with the next only."""
+    w = [f"v{k}" for k in range(1600)]
+    order = list(range(300))
+    random.Random(1).shuffle(order)
+    rows = [(i, " ".join(w[5 * k : 5 * k + 100])) for i, k in enumerate(order)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (96, 0) for i in range(300)} == linked(rows)
 
 
 # -- 6 ---------------------------------------------------------------------------------
