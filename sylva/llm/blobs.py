@@ -57,20 +57,27 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def text_units(batch, most: int):
-    """Slices of an Arrow batch (doc_id, text) as (ids, known, texts as bytes) of about ``most`` bytes; only one slice is unpacked at a time."""
+def slices(batch, column: int, most: int):
+    """Slices of an Arrow batch of about ``most`` bytes in a string column; a longer string is a slice of its own."""
     import pyarrow.compute as pc
 
-    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     first = 0
     while first < len(n):
         before = n[first - 1] if first else 0
         end = max(first + 1, int(np.searchsorted(n, before + most, side="right")))
-        part = batch.slice(first, end - first)
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def text_units(batch, most: int):
+    """``slices`` of (doc_id, text) as (ids, known, texts as bytes); only one slice is unpacked at a time."""
+    import pyarrow.compute as pc
+
+    for part in slices(batch, 1, most):
         ids = part.column(0)
         texts = [b"" if t is None else t.encode("utf-8", "replace") for t in part.column(1).to_pylist()]
         yield pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8), texts
-        first = end
 
 
 def chunks(texts: list[bytes], most: int = 1 << 21):

@@ -2,9 +2,10 @@
 
 A *version* is one text at one path (commit, revision, document).  Versions are
 content-addressed by SHA-256; the ledger records which (blob, rule, rule version)
-pairs were scanned and what was found.  A scan takes one text of every blob that
-still misses a pair, runs only the missing rules on it, appends to the ledger, and
-joins the findings of all blobs back to all paths.
+pairs were scanned and what each rule version found.  A scan takes one text of every
+blob that still misses a pair, runs only the missing rules on it, appends to the ledger,
+and joins the findings of the rules that are asked for, and of no other versions, back
+to all paths.
 
 Shuffles: (path, blob) pairs to choose one text per blob; the chosen texts once,
 dealt by (blob, path), so that a blob held by a third of all paths is no hot key;
@@ -22,12 +23,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from sylva.llm.common import let, materialize, scratch
+from sylva.llm.blobs import slices
+from sylva.llm.common import materialize, replaced, scratch
 
 
 @dataclass(frozen=True)
@@ -56,40 +57,41 @@ RULES: tuple[Rule, ...] = (
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", re.A, 0, 0, ("eyj",)),
 )
 BASE = ("assign", "access", "hex")
-FINDING = "blob string, kind string, start int, end int"
+UNIT = 8 << 20
+FINDING = "blob string, rule string, kind string, start int, end int"
 
 
-def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points: per rule the leftmost non-overlapping matches; short ones are dropped, not retried."""
+def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, str, int, int]]:
+    """(rule, kind, start, end) in code points: per rule the leftmost non-overlapping matches; short ones are dropped, not retried."""
     low, out = text.lower(), []
     for r in rules:
         if r.needs and not any(x in low for x in r.needs):
             continue
-        out += [(r.kind, m.start(), m.end()) for m in re.compile(r.pattern, r.flags).finditer(text) if m.end(r.group) - m.start(r.group) >= r.least]
+        out += [(r.name, r.kind, m.start(), m.end()) for m in re.compile(r.pattern, r.flags).finditer(text) if m.end(r.group) - m.start(r.group) >= r.least]
     return out
 
 
 def _scanner(rules: tuple[Rule, ...]):
+    """(blob, text, todo) to findings, a few megabytes of text at a time."""
     known = {r.name: r for r in rules}
+    schema = pa.schema([("blob", pa.string()), ("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (blob, *x)
-                for blob, text, todo in zip(pdf["blob"], pdf["text"], pdf["todo"], strict=True)
-                for x in find(text, tuple(r for n, r in known.items() if n in todo))
-            ]
-            yield pd.DataFrame(rows, columns=["blob", "kind", "start", "end"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, UNIT):
+                blobs, texts, todo = (c.to_pylist() for c in part.columns)
+                rows = [(blob, *x) for blob, text, names in zip(blobs, texts, todo, strict=True) for x in find(text, tuple(known[n] for n in names))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return scan
 
 
 def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of the ledger; empty before the first scan."""
-    try:
+    """A table of the ledger; empty before the first scan.  A folder that is there must be readable."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def scan_versions(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -113,13 +115,13 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, path: str = "d
     )
     todo = materialize(todo, "todo")
     chosen = texts.join(todo.withColumnRenamed("path", "rep").withColumnRenamed("blob", "b").hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")))
-    chosen.select("blob", "text", "todo").mapInPandas(_scanner(rules), FINDING).write.mode("append").option("compression", "zstd").parquet(f"{ledger}/findings")
+    chosen.select("blob", "text", "todo").mapInArrow(_scanner(rules), FINDING).write.mode("append").option("compression", "zstd").parquet(f"{ledger}/findings")
     todo.select("blob", F.col("todo").alias("done")).write.mode("append").parquet(f"{ledger}/scanned")
 
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     found = (
         _ledger(spark, f"{ledger}/findings", FINDING)
-        .filter(F.col("kind").isin(*[r.kind for r in rules]))
+        .filter(F.col("rule").isin(*names))
         .groupBy("blob")
         .agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("found"))
     )
@@ -153,19 +155,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     hits = scan_versions(docs).filter(F.size("found") > 0).select(F.col("path").alias("__sylva_p"), F.col("blob").alias("__sylva_b"), F.col("found").alias("__sylva_f")).distinct()
 
-    def cut(x: Column) -> Column:
-        text, found = x["t"], x["f"]
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-        def step(acc: Column, y: Column) -> Column:
-            kept = F.concat(acc["out"], F.substr(text, acc["at"] + 1, y["start"] - acc["at"]), F.lit(mark))
-            return F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.when(y["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     wide = docs.withColumn("__sylva_key", key).join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__sylva_p")) & (F.col("__sylva_key") == F.col("__sylva_b")), "left")
-    clean = F.when(F.col("__sylva_f").isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("__sylva_f").alias("f")), cut))
+    clean = F.when(F.col("__sylva_f").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__sylva_f"), lambda y: F.lit(mark)))
     out = wide.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__sylva_f").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
