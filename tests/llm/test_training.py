@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -258,6 +259,38 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert found == {4: ["assign"], 5: ["assign"]} and spark.read.parquet(f"{ledger}/scanned").count() == 5
 
 
+def test_ledger_keeps_findings_by_rule_version(spark, tmp_path):
+    """After an upgrade, or back, only what the asked versions found is reported; nothing is scanned twice."""
+    ledger = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(1, f"x {'ab12' * 7} y {'cd34' * 12}"), (2, "ab12" * 7), (3, None)], "doc_id long, text string")
+    one, two = secrets.Rule("hex", 1, r"[0-9a-f]{24,}"), secrets.Rule("hex", 2, r"[0-9a-f]{40,}")
+
+    def found(rule):
+        return {r["path"]: [(f["start"], f["end"]) for f in r["found"]] for r in secrets.scan_versions(rows, ledger, rules=(rule,)).collect()}
+
+    first, second = {1: [(2, 30), (33, 81)], 2: [(0, 28)], 3: []}, {1: [(33, 81)], 2: [], 3: []}
+    assert [found(one), found(two), found(one), found(two)] == [first, second, first, second]
+    assert spark.read.parquet(f"{ledger}/scanned").count() == 6
+    assert {r["rule"] for r in spark.read.parquet(f"{ledger}/findings").collect()} == {"hex@1", "hex@2"}
+
+
+def test_unreadable_ledger_is_no_empty_ledger(spark, tmp_path):
+    (tmp_path / "ledger" / "scanned").mkdir(parents=True)
+    (tmp_path / "ledger" / "scanned" / "part-0.parquet").write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        secrets.scan_versions(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "ledger")).collect()
+
+
+def test_redaction_is_linear_and_joins_overlaps(spark):
+    """Tens of thousands of findings in one long text; findings of two kinds that overlap are one mark."""
+    text = " ".join(f"é token=abcdef{k:06d} and more prose 😀" for k in range(20000))
+    rows = [(1, text, len(text)), (2, "secret=" + "0123456789abcdef" * 2 + " end", 43)]
+    t = time.time()
+    got = {r["doc_id"]: r for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got[1]["text"] == " ".join("é [SECRET] and more prose 😀" for k in range(20000)) and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "[SECRET] end" and time.time() - t < 60
+
+
 def test_redact_keeps_columns_and_clean_texts(docs, texts, spark):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
@@ -462,14 +495,16 @@ def test_url_trees_on_held_out(spark):
 # -- 8 ---------------------------------------------------------------------------------
 
 
-def test_packing(docs, texts):
+def test_packing(docs, texts, spark):
+    """Ids as ``tokenizers`` gives them by default, strings of added tokens included; sequences are full, gapless and not too many."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
-    for r in packing.digest(docs).collect():
+    more = [(900, "x <|endoftext|> y"), (901, "<|endoftext|>" * 3), (902, "<|endoftext|"), (903, "a " * 5000 + "<|endoftext|>é😀")]
+    texts = [*texts, *more]
+    for r in packing.digest(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))).collect():
         pieces[r["doc_id"]].append(r)
         sequences[r["sequence_id"]].append(r)
     for i, text in texts:
@@ -489,6 +524,27 @@ def test_packing(docs, texts):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_special_strings_as_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    encode = packing.encoder(packing.default_vocabulary(), special_strings=False)
+    assert all(encode(x) == t.encode(x, add_special_tokens=False).ids for x in ("x <|endoftext|> y", "<|endoftext|>é", "plain"))
+
+
+def test_short_texts_pack_without_padding(spark):
+    """Tables of tiny documents: one token (null texts), nine and forty tokens."""
+    rows = [(i, None if i < 5000 else "a b c d e f g h" if i < 7000 else "w " * 20) for i in range(7500)]
+    got = packing.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    used, total = {r["sequence_id"] for r in got}, sum(r["length"] for r in got)
+    assert len(got) == 7500 and len(used) <= -(-total // 2048) + 2
+    for n in range(1, 40):
+        units, demand = packing.bundles({n: 1000 * n, -30: 5})
+        assert sum(per * full for _, per, full, *_ in units) <= 1000 * n + 5 and demand[30] >= 5
+
+
 def test_column_generation_meets_demand():
     rng = np.random.default_rng(0)
     sizes, demand = np.arange(1, 65), rng.integers(0, 4000, 64)
