@@ -632,6 +632,47 @@ def test_neighbours_odd_vectors(spark):
     assert ann.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def exact_neighbours(rows, k=10):
+    """By brute force, for every row whose id is divisible by 100: (query, rank, vec_id, score), its own row left out."""
+    out = []
+    for a, (i, x) in enumerate(rows):
+        if i % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(y, np.float64) - np.array(x, np.float64)) ** 2).sum())), j) for b, (j, y) in enumerate(rows) if b != a)
+            out += [(i, r + 1, j, d) for r, (d, j) in enumerate(near[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["large", "mixed", "double", "close", "repeated ids"])
+def test_neighbours_exact_on_small_tables(spark, kind):
+    """Large finite values, doubles that agree in float32, ids that repeat with equal and with other vectors."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(70, 8))
+    size = {"large": 1e20, "double": 1 / 3}.get(kind, 1.0)
+    rows = [(i * 10, (x * size).tolist()) for i, x in enumerate(base)]
+    if kind == "mixed":
+        rows = [(i, (np.array(x) * 10.0 ** (i // 10 % 7 - 3)).tolist()) for i, x in rows]
+    if kind == "close":
+        rows = [(i, [1 + v * 1e-10 for v in x]) for i, x in rows]
+    if kind == "repeated ids":
+        rows = [(100 * (i % 3), x) for i, x in rows] + rows[:7] + [(100, rows[0][1]), (100, rows[0][1])]
+    got = ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == exact_neighbours(rows)
+
+
+def test_shards_grow_with_the_queries(spark):
+    """More queries, fewer and larger shards; recall stays."""
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(6000, 12)).astype(np.float32)
+    rows = ann.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"))
+    small, large = ann.build_index(rows, 60), ann.build_index(rows, 6000)
+    assert small.count() == 3 and large.count() == 1
+    got = collections.defaultdict(set)
+    for r in ann.search(large, rows.filter("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = {i: {int(j) for j in np.argsort(((v - v[i]) ** 2).sum(axis=1), kind="stable")[1:11]} for i in range(0, 6000, 100)}
+    assert sum(len(got[i] & want[i]) for i in want) / (10 * len(want)) >= 0.9
+
+
 def test_one_vector_held_by_many(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [1.0] * 8 if i % 2 else rng.normal(size=8).tolist()) for i in range(3001)]
