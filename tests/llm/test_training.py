@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from sylva.llm import ann, jaccard, mixing, packing, pii, quality, repeats, secrets, sharding, urls
 from sylva.llm import components as _components
@@ -87,6 +88,39 @@ def test_pii_entities_seen_once_or_in_copies(spark):
     assert all(clean[i]["text"] == t and found[i]["n_terms"] == 0 for i, t in rows if i >= 100)
 
 
+def test_pii_terms_by_brute_force(spark):
+    """Pairs near entities and the places of all terms against plain code, with spans that touch words, overlap and end the text."""
+    rng = random.Random(5)
+    parts = ["bob@corp.example", "1.2.3.4", "+1 (555) 123-4567", "éàü", "Zanzibar", "x1", "no", " ", " ", " ", ", ", "\n", "😀", "word " * 12, "4111 1111 1111 1111", "é"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(300)]
+    got = {r["doc_id"]: r for r in pii.mentions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = got[i]["spans"]
+        if not spans:
+            assert got[i]["near"] is None and got[i]["terms"] is None
+            continue
+        inside = {k for x in spans for k in range(x["start"], x["end"])}
+        terms = [(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{N}]+", t) if not inside & set(range(m.start(), m.end())) and m.end() - m.start() >= 2]
+        assert [(x["start"], x["end"], x["as_is"]) for x in got[i]["terms"]] == terms, t
+        name = lambda x: f"{x['kind']}:{re.sub('[^0-9]', '', x['m']) if x['kind'] in ('card', 'phone') else x['m'].lower()}"
+        near = {(name(x), w.lower()) for x in spans for a, b, w in terms if (b <= x["start"] and a >= x["start"] - 80) or (a >= x["end"] and b <= x["end"] + 80)}
+        assert {(x["entity"], x["term"]) for x in got[i]["near"]} == near, (t, spans)
+
+
+N_ADDRESSES = 40000
+
+
+def test_pii_of_a_long_list_of_addresses(spark):
+    """Forty thousand addresses in one text, in time that is in proportion; a term far from its entity goes too."""
+    text = "quagmire ann@first.example said " + " ".join(f"user{k}@host{k % 97}.example writes often" for k in range(N_ADDRESSES)) + " and quagmire left"
+    rows = [(1, text), *[(10 + i, f"the user writes often and said {i} left") for i in range(200)]]
+    t = time.time()
+    got = by_id(pii.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1]["n_email"] == N_ADDRESSES + 1 and time.time() - t < 120
+    n = len(text)
+    assert {f"remove:0:8", f"remove:{n - 13}:{n - 5}"} <= set(got[1]["spans"].split(","))
+
+
 # -- 2 ---------------------------------------------------------------------------------
 
 
