@@ -6,9 +6,9 @@ and the excess is shared again by weight, which is a water level: target = min(c
 size, level * weight).  Every document of a source should then be taken
 target/size times; the fraction of that is rounded by pivotal steps: two documents
 trade word mass, one way or the other at random so that expectations hold, until
-one of them is taken or left.  The words taken from a source are kept by every
-step, so they miss the target by less than one document; for a source of one chunk
-the last draw is then made up with single copies of shorter documents.
+one of them is taken or left.  The words taken from a source are kept by every step and
+the last document is decided by a draw, so they miss the target by less than one
+document, and every document is taken target/size times on average, at every size.
 
 The reduction tree: documents of a source are dealt to chunks of ``CHUNK`` by a
 hash; each chunk leaves one undecided document, these are dealt to chunks again,
@@ -16,7 +16,8 @@ until one per source is left and is decided by a draw.  A source with a third of
 all rows is thus many tasks, and each level shrinks 4096-fold.
 
 Defined results: null or empty text has size 0 and is never short of words (taken
-0); rows that agree in doc_id, source and text are one item, taken or left together;
+0); rows that agree in doc_id, source and text are one item: its copies are taken in whole
+numbers and only one of them is left to the rounding;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -34,7 +35,7 @@ from sylva.llm.common import SEED, materialize, words_of
 CHUNK = 4096
 CAP = 3
 WEIGHTS = (1, 2, 3)
-ITEM = "source_no int, doc_id long, text_hash long, size long, copies_of long, whole int, p double, chunks int, draw long"
+ITEM = "source_no int, doc_id long, text_hash long, size long, copies_of long, whole long, p double, chunks int, draw long"
 
 
 def source_table(sized: DataFrame) -> DataFrame:
@@ -88,27 +89,15 @@ def trade(weight: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> int:
     return held
 
 
-def _close(p: np.ndarray, whole: np.ndarray, mass: np.ndarray, lacking: float, cap: float) -> None:
-    """Makes up what the last draw of a source misses with single copies of shorter documents, long ones first."""
-    for k in range(len(p)):
-        step = 1 if lacking > 0 else -1
-        if 0 < mass[k] <= abs(lacking) and 0 <= whole[k] + p[k] + step <= cap:
-            p[k] += step
-            lacking -= step * mass[k]
-
-
-def _round(level: int, seed: int, cap: float):
+def _round(level: int, seed: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         # from long to short, so that neighbours are of like size and what stays undecided is short
         pdf = pdf.sort_values(["size", "draw", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         p = pdf["p"].to_numpy(copy=True)
-        held = trade((pdf["size"] * pdf["copies_of"]).to_numpy(dtype=float), p, rng)
-        if held >= 0 and pdf["chunks"].iloc[0] <= 1:
-            mass = (pdf["size"] * pdf["copies_of"]).to_numpy(dtype=float)
-            lacking = p[held] * mass[held]
+        held = trade(pdf["size"].to_numpy(dtype=float), p, rng)
+        if held >= 0 and pdf["chunks"].iloc[0] <= 1:  # the root of a source's tree: a draw decides
             p[held] = float(rng.random() < p[held])
-            _close(p, pdf["whole"].to_numpy(), mass, lacking - p[held] * mass[held], cap)
         pdf["p"] = p
         return pdf
 
@@ -124,8 +113,8 @@ def take(docs: DataFrame, seed: int = SEED, cap: float = CAP, weights: tuple[int
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = items.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
         "source_no", "doc_id", "text_hash", "size", "copies_of",
-        F.floor(rate + 1e-12).cast("int").alias("whole"),
-        F.when(F.col("size") > 0, F.greatest(rate - F.floor(rate + 1e-12), F.lit(0.0))).otherwise(0.0).alias("p"),
+        F.floor(rate * F.col("copies_of") + 1e-9).alias("whole"),
+        F.when(F.col("size") > 0, F.greatest(rate * F.col("copies_of") - F.floor(rate * F.col("copies_of") + 1e-9), F.lit(0.0))).otherwise(0.0).alias("p"),
         F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"),
         F.xxhash64("doc_id", "text_hash", F.lit(seed)).alias("draw"),
     )
@@ -134,27 +123,40 @@ def take(docs: DataFrame, seed: int = SEED, cap: float = CAP, weights: tuple[int
     done, open_ = [], start
     for level in range(levels):
         chunk = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("chunks")).cast("int")
-        after = materialize(open_.withColumn("chunk", chunk).groupBy("source_no", "chunk").applyInPandas(_round(level, seed, cap), ITEM + ", chunk int").drop("chunk"), f"level{level}")
+        after = materialize(open_.withColumn("chunk", chunk).groupBy("source_no", "chunk").applyInPandas(_round(level, seed), ITEM + ", chunk int").drop("chunk"), f"level{level}")
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(after.filter(~undecided))
         open_ = after.filter(undecided).withColumn("chunks", F.ceil(F.col("chunks") / CHUNK).cast("int"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    times = (F.col("whole") + F.col("p").cast("int")).cast("int")
+    times = (F.col("whole") + F.col("p").cast("int")).cast("long")
     return out.join(plan.select("source_no", "source", "source_size", "target"), "source_no").select("doc_id", "source", "text_hash", "size", "copies_of", "source_size", "target", times.alias("times"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    got = take(docs, seed).filter("times > 0").select(F.col("doc_id").alias("__sylva_d"), F.col("source").alias("__sylva_s"), F.col("text_hash").alias("__sylva_h"), "times")
+    """``docs`` with every row as often as the mix takes it.
+
+    Of rows that agree in doc_id, source and text, which take a share of their copies together, the one
+    of least content stands for all; its copies are unfolded a thousand at a time over many tasks.
+    """
+    got = take(docs, seed).filter("times > 0").select(F.col("doc_id").alias("__sylva_d"), F.col("source").alias("__sylva_s"), F.col("text_hash").alias("__sylva_h"), F.col("times").alias("__sylva_t"), F.col("copies_of").alias("__sylva_n"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     same = F.col("doc_id").eqNullSafe(F.col("__sylva_d")) & F.col("source").eqNullSafe(F.col("__sylva_s")) & (F.col("__sylva_x") == F.col("__sylva_h"))
-    joined = docs.withColumn("__sylva_x", F.xxhash64("text")).join(got.withColumnRenamed("times", "__sylva_t").hint("shuffle_hash"), same)
-    return joined.withColumn("__sylva_c", F.explode(F.sequence(F.lit(1), F.col("__sylva_t")))).select(*cols)
+    joined = docs.withColumn("__sylva_x", F.xxhash64("text")).join(got.hint("shuffle_hash"), same)
+    single = joined.filter("__sylva_n = 1").withColumn("__sylva_c", F.explode(F.sequence(F.lit(1), F.col("__sylva_t").cast("int")))).select(*cols)
+    content = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    again = joined.filter("__sylva_n > 1").select(F.struct(*cols).alias("__sylva_r"), content.alias("__sylva_c"), "__sylva_d", "__sylva_s", "__sylva_h", "__sylva_t")
+    one = again.groupBy("__sylva_d", "__sylva_s", "__sylva_h", "__sylva_t").agg(F.min_by("__sylva_r", "__sylva_c").alias("__sylva_r"))
+    last = F.floor((F.col("__sylva_t") - 1) / 1000).cast("int")
+    blocks = one.withColumn("__sylva_b", F.explode(F.sequence(F.lit(0), last))).repartition(F.col("__sylva_h"), F.col("__sylva_b"))
+    size = F.least(F.lit(1000), F.col("__sylva_t") - 1000 * F.col("__sylva_b")).cast("int")
+    more = blocks.withColumn("__sylva_c", F.explode(F.sequence(F.lit(1), size))).select("__sylva_r.*")
+    return single.unionByName(more)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The result of query op2."""
+    """The result of query op2: of an item's rows, the first ones take what does not divide."""
     rows = take(docs).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies_of").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "source", "times")
+    times = F.floor(F.col("times") / F.col("copies_of")) + F.when(F.col("_c") <= F.pmod(F.col("times"), F.col("copies_of")), 1).otherwise(0)
+    return rows.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), "source", times.cast("int").alias("times"))

@@ -172,6 +172,18 @@ def test_pivotal_steps_keep_mass_and_expectation():
     assert abs(mean / 400 - 0.3).max() < 0.12
 
 
+def test_repeated_row_with_a_third_of_the_words(spark):
+    """A row that is repeated thousands of times misses nothing: its copies are taken one by one."""
+    rows = [(7, "w " * 40, "a")] * 2000 + [(100 + i, "w " * (1 + i % 60), "a" if i % 4 else "b") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.digest(df).collect()
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 60 and all(r["taken"] <= 3 * r["size"] for r in mine)
+    assert len(got) == 6000
+    assert mixing.mix(df).filter("doc_id = 7").count() * 40 == sum(r["taken"] for r in got if r["doc_id"] == 7)
+
+
 def test_many_chunks_meet_their_target(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 40 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source")
     rows = mixing.digest(df).groupBy("source", "target").agg({"taken": "sum"}).collect()
@@ -402,6 +414,14 @@ def test_jaccard_keeps_texts_of_null_and_shared_ids(spark):
     assert got == sorted(want, key=str)
 
 
+def test_boundary_by_cost():
+    """The least total cost decides: long lists push the boundary up, a cheap size below a dear one does not."""
+    assert jaccard.light_boundary([]) == 0 and jaccard.light_boundary([(5, 10, 1.0), (10, 10, 1.0)]) == 0
+    assert jaccard.light_boundary([(5, 100, 10**3), (10, 100, 10**3), (40, 100, 10**3)]) == 10
+    assert jaccard.light_boundary([(5, 10**6, 1.0), (6, 1, 10**3)]) == 0  # what size 6 saves does not pay for size 5
+    assert jaccard.light_boundary([(16, 5, 10**5)]) == 16 and jaccard.worth_trying(10**5) >= 16
+
+
 def test_subsets_cover_every_light_pair():
     for a in range(1, 11):
         for b in range(a, 11):
