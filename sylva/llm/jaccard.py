@@ -10,8 +10,8 @@ link when ``100 * intersection >= 80 * union``.  The join is exact on fingerprin
    shared has no partner and is finished.
 3. Light sets (of at most ``x`` shingles) enumerate the subsets of the fixed sizes that
    a partner must share; heavy sets, and light ones near the boundary, put the tokens of their prefix
-   (rarest first) into inverted lists.  ``x`` is the largest size at which the subsets
-   cost no more than the lists would be long.
+   (rarest first) into inverted lists.  ``x`` is the size at which subsets below it and
+   list entries above it cost least in total.
 4. Sets that share a key and are of compatible size form candidate families.  Each
    bucket of keys keeps a star per family, not its pairs.
 5. Families are verified exactly.  A task holds one block, or one pair of blocks, of a
@@ -47,7 +47,10 @@ NUMERATOR, DENOMINATOR = 80, 100
 BITS = 48
 UNIT = 8 << 20
 BLOCK = 1000
-LARGEST_LIGHT = 12
+#: Keys that a sender holds at once.
+KEYS = 1 << 20
+#: What making one subset costs, in list entries.
+SUBSET = 4.0
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
@@ -212,12 +215,26 @@ def subset_sizes(size: int, largest: int) -> list[int]:
     return sorted({c for b in partners if (c := least_overlap(size, b)) <= min(size, b)})
 
 
-def light_boundary(costs: list[tuple[int, float]]) -> int:
-    """From (size, mean list length): the largest size whose subsets cost no more than scanning its lists."""
-    best = 0
-    for size, mean in costs:
-        if size <= LARGEST_LIGHT and sum(comb(size, c) for c in subset_sizes(size, size * DENOMINATOR // NUMERATOR)) <= prefix_length(size) * max(mean, 1.0):
-            best = max(best, size)
+def subsets(size: int) -> int:
+    """How many subsets a light set of ``size`` enumerates."""
+    return sum(comb(size, c) for c in subset_sizes(size, size * DENOMINATOR // NUMERATOR))
+
+
+def worth_trying(longest: float) -> int:
+    """The largest size at which subsets could cost no more than lists of ``longest`` entries: their number grows faster than any list."""
+    size = 1
+    while SUBSET * subsets(size + 1) <= prefix_length(size + 1) * longest:
+        size += 1
+    return size
+
+
+def light_boundary(costs: list[tuple[int, int, float]]) -> int:
+    """From (size, sets, mean list length): the boundary of least total cost, subsets up to it and list entries beyond it."""
+    best, least, cost = 0, 0.0, 0.0
+    for size, n, mean in sorted(costs):
+        cost += n * (SUBSET * subsets(size) - prefix_length(size) * max(mean, 1.0))
+        if cost < least:
+            best, least = size, cost
     return best
 
 
@@ -241,30 +258,37 @@ def _keys(largest: int, buckets: int):
     """Keys of sets as rows (bucket, key, cls, low, high): one per key and run of sizes of a sender; and the sender's own edges (cls, other)."""
     columns = ["k", "key", "cls", "low", "high", "other"]
 
+    def rows(keys: list[np.ndarray], cls: list[int], sizes: list[int]) -> Iterator[pd.DataFrame]:
+        n = [len(k) for k in keys]
+        size = np.repeat(np.array(sizes, np.int64), n)
+        key, cls_, low, high, link, first = runs_of(np.concatenate(keys).view(np.int64), np.repeat(np.array(cls, np.int64), n), size, size)
+        star = stars(cls_[:-1][link], cls_[1:][link])
+        out = pd.DataFrame({"key": key[first], "cls": cls_[first], "low": low[first], "high": np.maximum.reduceat(high, first) if len(first) else high, "other": 0})
+        out["k"] = (mix64(out["key"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        yield out[columns]
+        yield pd.DataFrame({"k": -1 - star["a"] % buckets, "key": 0, "cls": star["a"], "low": 0, "high": 0, "other": star["b"]})[columns]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = -(-NUMERATOR * (largest + 1) // DENOMINATOR)
         for pdf in batches:
-            keys, cls, sizes = [], [], []
+            keys, cls, sizes, n = [], [], [], 0
             for c, size, blob in zip(pdf["cls"], pdf["n_shingles"], pdf["tokens"], strict=True):
-                token, own = np.frombuffer(blob, np.uint64), []
+                token, own = np.frombuffer(blob, np.uint64), [np.zeros(0, np.uint64)]
                 if size > largest or size >= near:
                     own.append(token[: max(0, prefix_length(size) - (size - len(token)))])
                 if size <= largest:
                     some = sorted(int(t) for t in token)
-                    subsets = [hash((k, *s)) & (1 << 63) - 1 for k in subset_sizes(size, largest) for s in combinations(some, k)]
-                    own.append(mix64(np.array(subsets, dtype=np.uint64)) | np.uint64(1 << 63))
-                own = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                keys.append(own)
-                cls.append(np.full(len(own), c, np.int64))
-                sizes.append(np.full(len(own), size, np.int64))
+                    chosen = [hash((k, *s)) & (1 << 63) - 1 for k in subset_sizes(size, largest) for s in combinations(some, k)]
+                    own.append(mix64(np.array(chosen, dtype=np.uint64)) | np.uint64(1 << 63))
+                keys.append(np.concatenate(own))
+                cls.append(c)
+                sizes.append(size)
+                n += len(keys[-1])
+                if n > KEYS:
+                    yield from rows(keys, cls, sizes)
+                    keys, cls, sizes, n = [], [], [], 0
             if keys:
-                size = np.concatenate(sizes)
-                key, cls_, low, high, link, first = runs_of(np.concatenate(keys).view(np.int64), np.concatenate(cls), size, size)
-                star = stars(cls_[:-1][link], cls_[1:][link])
-                out = pd.DataFrame({"key": key[first], "cls": cls_[first], "low": low[first], "high": np.maximum.reduceat(high, first) if len(first) else high, "other": 0})
-                out["k"] = (mix64(out["key"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                yield out[columns]
-                yield pd.DataFrame({"k": -1 - star["a"] % buckets, "key": 0, "cls": star["a"], "low": 0, "high": 0, "other": star["b"]})[columns]
+                yield from rows(keys, cls, sizes)
 
     return run
 
@@ -333,8 +357,9 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = materialize(back.groupBy("batch").applyInPandas(_documents, "doc_id long, n_shingles long, cls long, tokens binary, mean_list double"), "documents")
 
     open_ = rows.filter("tokens is not null")
-    costs = open_.filter(F.col("n_shingles") <= LARGEST_LIGHT).groupBy("n_shingles").agg(F.avg("mean_list")).collect()  # at most LARGEST_LIGHT rows
-    largest = light_boundary([(r[0], r[1]) for r in costs])
+    longest = open_.agg(F.max("mean_list")).first()[0] or 0.0
+    costs = open_.filter(F.col("n_shingles") <= worth_trying(longest)).groupBy("n_shingles").agg(F.count(F.lit(1)), F.avg("mean_list")).collect()  # a row a size, some dozens at most
+    largest = light_boundary([tuple(r) for r in costs])
     sets = materialize(open_.dropDuplicates(["cls"]).select("cls", "n_shingles", "tokens"), "sets")
     keys = sets.repartition(parts, "cls").mapInPandas(_keys(largest, buckets), "k long, key long, cls long, low long, high long, other long")
     near = keys.groupBy("k").applyInPandas(_families, "a long, b long")
