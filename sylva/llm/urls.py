@@ -11,7 +11,7 @@ The trained trees are compiled into one SQL expression, so scoring is a projecti
 
 Defined results: a null url or one without ``://`` has an empty host and path, meets
 no rule and is judged on its features; with no labelled url of both kinds everything
-undecided is allowed; repeated rows are judged alike; other columns are not read.
+undecided is allowed; repeated rows and null ids are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,12 +77,14 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def with_suffix_statistics(rows: DataFrame, shrink: float = 20.0) -> DataFrame:
-    """Adds the shrunk share of blocked labelled urls per host suffix, over all rows."""
+    """Adds the shrunk share of blocked labelled urls per host suffix, over all rows; a labelled row's own label is left out of its share."""
     labelled = rows.filter("rule is not null").withColumn("y", verdict_of(F.col("rule")).eqNullSafe("block").cast("double"))
     share = labelled.agg(F.avg("y")).first()[0] or 0.0
+    own = F.when(F.col("rule").isNotNull(), verdict_of(F.col("rule")).eqNullSafe("block").cast("double"))
     for s in ("suffix1", "suffix2", "segment", "place"):
-        stats = labelled.groupBy(F.col(s).alias("_s")).agg(((F.sum("y") + shrink * share) / (F.count("y") + shrink)).alias(f"{s}_blocked"))
-        rows = rows.join(stats, F.col(s) == F.col("_s"), "left").drop("_s").withColumn(f"{s}_blocked", F.coalesce(f"{s}_blocked", F.lit(share)))
+        stats = labelled.groupBy(F.col(s).alias("_s")).agg(F.sum("y").alias("_y"), F.count("y").alias("_n"))
+        others = (F.col("_y") - F.coalesce(own, F.lit(0.0)) + shrink * share) / (F.col("_n") - F.when(own.isNull(), 0).otherwise(1) + shrink)
+        rows = rows.join(stats, F.col(s) == F.col("_s"), "left").withColumn(f"{s}_blocked", F.coalesce(others, F.lit(share))).drop("_s", "_y", "_n")
     return rows
 
 
@@ -148,12 +150,12 @@ def compiled(model: tuple[float, list]) -> Column:
 
 
 def sample(rows: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """At most about ``bound`` labelled urls, drawn by a hash of the url's id and host."""
-    labelled = rows.filter("rule is not null")
+    """At most about ``bound`` different labelled urls, drawn by a hash of the url's id, host and path; repeated rows are one."""
+    labelled = materialize(rows.filter("rule is not null").select("page_id", "host", "path", *FEATURES, verdict_of(F.col("rule")).alias("v")).distinct(), "labelled")
     n = labelled.count()
     if n > bound:
-        labelled = labelled.filter(F.pmod(F.xxhash64("page_id", "host", "path", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    pdf = labelled.select("page_id", *FEATURES, verdict_of(F.col("rule")).alias("v")).toPandas().sort_values(["page_id", *FEATURES])
+        labelled = labelled.filter(F.pmod(F.xxhash64("page_id", "host", "path", *FEATURES, F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    pdf = labelled.toPandas().sort_values(["page_id", *FEATURES])
     return pdf[list(FEATURES)].to_numpy(dtype=float), (pdf["v"] == "block").to_numpy(dtype=float)
 
 

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -533,7 +534,6 @@ def test_url_trees_on_held_out(spark):
     rng = random.Random(4)
     rows = [(i, f"http://{'spam-' if bad else ''}h{rng.randrange(50)}.{'net' if bad else 'org'}/{'p' if bad else 'fr'}/{rng.randrange(10**6) if bad else 'a'}") for i, bad in enumerate(rng.random() < 0.4 for _ in range(1200))]
     x, y = urls.sample(urls.with_suffix_statistics(urls.with_features(spark.createDataFrame(rows, "page_id long, url string"))))
-    x = np.delete(x, [urls.FEATURES.index(f) for f in urls.FEATURES if f.endswith("_blocked")], axis=1)
     n = 800
     start, forest = urls.fit(x[:n], y[:n])
 
@@ -546,6 +546,41 @@ def test_url_trees_on_held_out(spark):
     assert ((score > 0) == (y[n:] > 0)).mean() > 0.97
 
 
+def test_url_statistics_leave_the_row_out(spark):
+    """A labelled url that is alone with its host learns nothing from its own label."""
+    rows = [(i, f"http://h{i}.{'net' if i % 2 else 'org'}/fr/x") for i in range(40)]
+    got = urls.with_suffix_statistics(urls.with_features(spark.createDataFrame(rows, "page_id long, url string"))).collect()
+    assert len({round(r["suffix2_blocked"], 9) for r in got}) == 1
+    assert len({r["suffix1_blocked"] > 0.5 for r in got if r["suffix1"] == "net"}) == 1
+
+
+def test_url_repeats_nulls_and_clashing_columns(spark):
+    """Repeated rows are judged alike and sampled once; null ids stay; other columns are not read."""
+    rows = [(1, "http://a.net/x", "h", 1.0)] * 500 + [(None, "http://b.org/fr/y", "h", 2.0), (None, None, None, None), (3, "http://c.de/z", "h", 3.0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, score double")
+    got = urls.digest(df).collect()
+    assert len(got) == 503 and sum(r["page_id"] is None for r in got) == 2 and len({r["verdict"] for r in got if r["page_id"] == 1}) == 1
+    x, _ = urls.sample(urls.with_suffix_statistics(urls.with_features(df)))
+    assert len(x) == 2
+
+
+def test_url_parts_by_sql(spark):
+    """Host, path and rule of every page against SQL."""
+    sf = "/root/testdata/sf0.001"
+    want = duckdb.sql(f"""
+      WITH a AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS p FROM '{sf}/pages.parquet'),
+      b AS (SELECT page_id, CASE WHEN p > 0 THEN substr(u, p + 3) ELSE '' END AS r FROM a),
+      c AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM b)
+      SELECT page_id, host, path, CASE
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+      FROM c""").fetchall()
+    got = urls.digest(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 # -- 8 ---------------------------------------------------------------------------------
 
 
