@@ -179,15 +179,18 @@ def escape_ascii(s: Column, base: int = 16, pad: int = 4, upper: bool = True, na
 
 
 def unescape(s: Column, unknown: str = "raise") -> Column:
-    """Named and numeric references to characters; ``unknown``: raise or keep."""
+    """Named and numeric references to characters; ``unknown``: raise or keep those of no character."""
 
     @F.pandas_udf(StringType())
     def plain(x: pd.Series) -> pd.Series:
         def one(m: re.Match) -> str:
-            if m[1]:
-                return chr(int(m[1]))
-            if m[2]:
-                return chr(int(m[2], 16))
+            if m[1] or m[2]:
+                cp = int(m[1]) if m[1] else int(m[2], 16)
+                if cp <= 0x10FFFF and not 0xD800 <= cp < 0xE000:
+                    return chr(cp)
+                if unknown == "raise":
+                    raise ValueError(f"no character has the number {cp}")
+                return m[0]
             found = html5.get(m[3] + ";")
             if found is None and unknown == "raise":
                 raise ValueError(f"unknown entity {m[3]}")

@@ -112,3 +112,9 @@ def test_fragments(one):
 def test_durations(one):
     assert one(*[dates.duration_text(dates.parse_duration(L(s))) for s in ("P1Y2M3DT4H3.1415S", "-P1D", "PT0S", "P", "PT", "P1")]) == ["P1Y2M3DT4H3.1415S", "-P1D", "PT0S", None, None, None]
     assert one(dates.add_duration(L(datetime.datetime(2024, 1, 31)), dates.parse_duration(L("P1M1DT1H")))) == [datetime.datetime(2024, 3, 1, 1)]
+
+
+def test_references_beyond_the_last_character(spark):
+    """A number that no character has stays as it is, or is an error of its own kind."""
+    df = spark.createDataFrame([("a &#1114112; &#xD800; &#65; &lt;",)], "s string")
+    assert df.select(text.unescape(df.s, "keep").alias("t")).first()["t"] == "a &#1114112; &#xD800; A <"
