@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sylva.functions import dates, text, types
 from sylva.operators import attrs, axes, css, ids, mutate, overlap, pick, positions
 from sylva.plans import serialize, twin
-from sylva.sources import readers
+from sylva.sources import readers, scratch
 from sylva.sources.dtd import Dtd
 from sylva.sources.jsonx import shred_json
 from sylva.sources.options import ShredOptions
@@ -49,6 +49,11 @@ def page_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred(pages, "page_id", "html", ShredOptions(mode="html"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer trees, for queries that use them more than once."""
+    return scratch.stored(twin.customer_forest(spark, sf_dir))
+
+
 def long(c, name: str):
     return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
 
@@ -68,7 +73,7 @@ _ORDERS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderk
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links FROM pages")
 def links_per_page(spark, sf_dir):
     """Shred, select ``nav li > a``, count per page."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     found = css.select(forest, "nav li > a").filter(attrs.has_attribute("href")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     pages = table(spark, sf_dir, "pages").select("page_id")
     return pages.join(found, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_links"))
@@ -77,7 +82,7 @@ def links_per_page(spark, sf_dir):
 @query("SELECT page_id, CAST(i AS BIGINT) AS place, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) AS h FROM pages))")
 def link_targets(spark, sf_dir):
     """Attribute of the selected elements, with their place among the list's items."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     a = css.select(forest, "ul > li > a")
     items = axes.parent(forest, a).select("doc_id", F.col("from_pre").alias("pre"), (F.col("ord_e") + 1).alias("i"))
     return a.join(items, ["doc_id", "pre"]).select(F.col("doc_id").alias("page_id"), long("i", "place"), attr("href").alias("href"))
@@ -86,14 +91,14 @@ def link_targets(spark, sf_dir):
 @query("SELECT page_id, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title FROM pages")
 def page_titles(spark, sf_dir):
     """Text content of an element."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     return positions.text_content(forest, forest.filter("name = 'title'")).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def heading_language(spark, sf_dir):
     """Inherited attribute: the nearest ``lang`` above each h1."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     return attrs.inherited(forest, forest.filter("name = 'h1'"), "lang").select(F.col("doc_id").alias("page_id"), F.col("value").alias("lang"))
 
 
@@ -105,7 +110,7 @@ def elements_by_name(spark, sf_dir):
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, 'class=\"ad\"')) AS BIGINT) AS n_ads FROM pages")
 def ads_by_class(spark, sf_dir):
     """Elements by class token from the root."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     return axes.by_class(forest, forest.filter("depth = 1"), "ad").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n_ads"))
 
 
@@ -138,7 +143,7 @@ def _compared(one: DataFrame, other: DataFrame) -> DataFrame:
 @query(_ELEMENTS)
 def xml_round_trip(spark, sf_dir):
     """Shred, serialize, shred again: element rows that are not the same."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     again = shred(serialize.to_xml(forest), text="xml")
     cols = ["doc_id", "pre", "last", "name", "attrs", "tag_path"]
     return _compared(axes.nodes(forest).select(cols), again.select(cols))
@@ -147,7 +152,7 @@ def xml_round_trip(spark, sf_dir):
 @query(_ELEMENTS)
 def json_round_trip(spark, sf_dir):
     """Tree to JSON to tree: element rows that are not the same."""
-    forest = page_forest(spark, sf_dir)
+    forest = scratch.stored(page_forest(spark, sf_dir))
     again = shred_json(serialize.to_json_text(forest), text="json")
     cols = ["doc_id", "pre", "last", "name", "attrs", "data"]
     return _compared(axes.nodes(forest).select(cols), again.select(cols))
@@ -178,14 +183,14 @@ def lines_per_order(spark, sf_dir):
 @query("SELECT c_custkey AS customer, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def lines_by_tag_name(spark, sf_dir):
     """Self-or-descendant elements of a name, from the root."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return axes.by_tag(forest, forest.filter("depth = 1"), "line").groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("SELECT o_orderkey AS order_key, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def quantity_by_parent(spark, sf_dir):
     """Parent axis and an aggregate."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     lines = forest.filter("name = 'line'")
     up = axes.parent(forest, lines).select("doc_id", F.col("from_pre").alias("pre"), attr("key", "long").alias("order_key"))
     return lines.join(up, ["doc_id", "pre"]).groupBy("order_key").agg(F.sum(attr("qty", "long")).alias("qty"))
@@ -193,27 +198,27 @@ def quantity_by_parent(spark, sf_dir):
 
 @query("SELECT name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['nation', 'customer', 'order']) AS name, 1 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY name")
 def ancestors_of_lines(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return axes.ancestors(forest, forest.filter("name = 'line'")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT n_name AS nation, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def inherited_nation(spark, sf_dir):
     """As-of lookup along the ancestors."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return attrs.inherited(forest, forest.filter("name = 'line'"), "name").groupBy(F.col("value").alias("nation")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("SELECT o_custkey || '/' || o_orderkey AS stack FROM orders JOIN customer ON o_custkey = c_custkey")
 def stacked_keys(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return attrs.stacked(forest, forest.filter("name = 'order'"), "key").select(F.col("value").alias("stack"))
 
 
 @query(f"SELECT l_orderkey AS order_key, CAST(pos - 1 AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
 def line_places(spark, sf_dir):
     """Child index by a window."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     lines = positions.child_index(forest, only_elements=True).filter("name = 'line'")
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return lines.join(up, ["doc_id", "parent"]).select("order_key", long("child_index", "place"), attr("qty", "long").alias("qty"))
@@ -221,14 +226,14 @@ def line_places(spark, sf_dir):
 
 @query(f"SELECT l_orderkey AS order_key, CAST(pos - 1 - count(*) OVER (PARTITION BY l_orderkey) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
 def line_places_from_end(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     lines = positions.child_index(forest, of_name="line", reverse=True).filter("name = 'line'")
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return lines.join(up, ["doc_id", "parent"]).select("order_key", long("child_index", "place"), attr("qty", "long").alias("qty"))
 
 
 def _with_neighbour(spark, sf_dir, step: int) -> DataFrame:
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     lines = forest.filter("name = 'line'")
     other = axes.sibling(forest, lines, step).select("doc_id", F.col("from_pre").alias("pre"), attr("qty", "long").alias("other_qty"))
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
@@ -248,7 +253,7 @@ def previous_line(spark, sf_dir):
 @query("SELECT l_orderkey AS order_key, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_pairs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 1")
 def line_pairs(spark, sf_dir):
     """Following-sibling axis: a theta join within a parent."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return axes.following_siblings(forest, forest.filter("name = 'line'")).join(up, ["doc_id", "parent"]).groupBy("order_key").agg(F.count(F.lit(1)).alias("n_pairs"))
 
@@ -256,7 +261,7 @@ def line_pairs(spark, sf_dir):
 @query(f"SELECT c_custkey AS customer, CAST(count(*) AS BIGINT) AS n FROM ({_ORDERS}) GROUP BY 1 HAVING count(*) > 0")
 def last_nodes(spark, sf_dir):
     """Preceding axis of XPath from the last node: what is before it, but for its ancestors (orders and their lines)."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     last = axes.rightmost(forest, forest.filter("pre = 0")).drop("from_pre").filter("depth > 2")
     orders = axes.preceding(forest, last, F.col("name") == "order", xpath=True).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
     is_line = last.select(F.col("doc_id").alias("customer"), F.lit(1).alias("own"))
@@ -266,7 +271,7 @@ def last_nodes(spark, sf_dir):
 @query(f"SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'line' ELSE 'order' END AS name FROM ({_ORDERS}) o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey) OR opos < (SELECT count(*) FROM orders p WHERE p.o_custkey = o.o_custkey)) GROUP BY name")
 def node_after_order(spark, sf_dir):
     """Next in document order: the first line, or the next order after an empty one."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return axes.neighbour(forest, forest.filter("name = 'order'"), 1).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -280,8 +285,10 @@ def _selected(selector: str, sql_filter: str, name: str, source: str = "order")
     """A query that counts a selector's matches per customer."""
     base = f"FROM ({_ORDERS}) o" if source == "order" else f"FROM ({_PLACED}) l"
 
+    forest = customers if " " in selector or ":" in selector else twin.customer_forest
+
     def run(spark, sf_dir):
-        return css.select(twin.customer_forest(spark, sf_dir), selector).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+        return css.select(forest(spark, sf_dir), selector).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
 
     run.__name__ = name
     run.__doc__ = f"Matches of ``{selector}`` per customer."
@@ -311,7 +318,7 @@ _selected("order:is([status=F], [status=P]) > line:nth-last-of-type(2)", "o_orde
 @query("SELECT o_orderkey AS order_key, o_custkey AS customer FROM orders JOIN customer ON o_custkey = c_custkey")
 def order_ids(spark, sf_dir):
     """ID index by a choice of attribute, then lookup."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     index = ids.build_index(forest, [ids.IdChoice("order", "key")])
     found = ids.by_id(forest, index, index)
     return found.select(F.col("id").cast("long").alias("order_key"), F.col("doc_id").alias("customer"))
@@ -320,7 +327,7 @@ def order_ids(spark, sf_dir):
 @query("SELECT c_custkey AS customer, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS uses FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, o_orderstatus HAVING o_orderstatus = 'F'")
 def duplicate_ids(spark, sf_dir):
     """Of elements that share an id the last wins."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     index = ids.build_index(forest, [ids.IdChoice("order", "status")]).filter("id = 'F'")
     return ids.by_id(forest, index, index).select("doc_id", attr("key", "long").alias("last_order")).join(index.select("doc_id", "uses"), "doc_id").select(F.col("doc_id").alias("customer"), "last_order", "uses")
 
@@ -338,13 +345,13 @@ def second_orders_by_path(spark, sf_dir):
 @query(f"SELECT o_orderkey AS order_key FROM ({_ORDERS}) o WHERE opos BETWEEN 2 AND 3")
 def orders_by_slice(spark, sf_dir):
     """The pick mini-language: children of a name, in a slice."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return pick.pick(forest, forest.filter("name = 'customer'"), ("order", 1, 3)).select(attr("key", "long").alias("order_key"))
 
 
 @query(f"SELECT o_orderkey AS order_key FROM ({_ORDERS}) o WHERE opos = (SELECT count(*) FROM orders p WHERE p.o_custkey = o.o_custkey)")
 def last_order_by_pick(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return pick.pick(forest, forest.filter("name = 'customer'"), -1).select(attr("key", "long").alias("order_key"))
 
 
@@ -354,14 +361,14 @@ _TEXT = "'<line n=\"' || l_linenumber || '\" qty=\"' || CAST(l_quantity AS INTEG
 @query(f"SELECT o_orderkey AS order_key, '<order key=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\" priority=\"' || o_orderpriority || '\">' || string_agg({_TEXT}, '' ORDER BY pos) || '</order>' AS xml FROM ({_PLACED}) GROUP BY o_orderkey, o_orderstatus, o_orderpriority")
 def orders_as_xml(spark, sf_dir):
     """Outer XML of subtrees."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     orders = forest.filter("name = 'order' and n_children > 0")
     return serialize.to_xml(forest, orders, emptySpace=False).join(orders.select("doc_id", "pre", attr("key", "long").alias("order_key")), ["doc_id", "pre"]).select("order_key", "xml")
 
 
 @query(f"SELECT l_orderkey AS order_key, '[{{\"~\": \"line\", \"n\": \"' || l_linenumber || '\", \"qty\": \"' || CAST(l_quantity AS INTEGER) || '\", \"cents\": \"' || CAST(round(l_extendedprice * 100) AS BIGINT) || '\", \"flag\": \"' || l_returnflag || '\", \"part\": \"' || l_partkey || '\", \"supp\": \"' || l_suppkey || '\"}}]' AS json FROM ({_PLACED}) WHERE pos = 1")
 def first_lines_as_json(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     lines = forest.filter("name = 'line' and ord = 0")
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return serialize.to_json_text(forest, lines).join(lines.join(up, ["doc_id", "parent"]).select("doc_id", "pre", "order_key"), ["doc_id", "pre"]).select("order_key", "json")
@@ -370,7 +377,7 @@ def first_lines_as_json(spark, sf_dir):
 @query(f"SELECT CAST(n AS BIGINT) AS copies, CAST(count(*) AS BIGINT) AS n_trees FROM (SELECT count(*) AS n FROM ({_PLACED}) GROUP BY l_linenumber, CAST(l_quantity AS INTEGER), CAST(round(l_extendedprice * 100) AS BIGINT), l_returnflag, l_partkey, l_suppkey) GROUP BY n")
 def equal_lines(spark, sf_dir):
     """Deep equality by the hash of the canonical form."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     hashes = serialize.tree_hash(forest, forest.filter("name = 'line'")).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
     return hashes.groupBy("copies").agg(F.count(F.lit(1)).alias("n_trees"))
 
@@ -389,7 +396,7 @@ def node_profile(spark, sf_dir):
 @query(f"SELECT l_orderkey AS order_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED}) WHERE l_returnflag <> 'R'")
 def removed_lines(spark, sf_dir):
     """Remove nodes and renumber."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     left = mutate.remove(forest, css.select(forest, "line[flag=R]"))
     up = left.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return left.filter("name = 'line'").join(up, ["doc_id", "parent"]).select("order_key", (F.col("ord") + 1).cast("long").alias("place"), attr("qty", "long").alias("qty"))
@@ -398,7 +405,7 @@ def removed_lines(spark, sf_dir):
 @query(f"SELECT l_orderkey AS order_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS BIGINT), pos) AS BIGINT) AS place, CAST(l_quantity AS BIGINT) AS qty FROM ({_PLACED})")
 def sorted_lines(spark, sf_dir):
     """Sort children by a key and renumber."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     done = mutate.sort_children(forest, forest.filter("name = 'order'"), attr("qty", "long"))
     up = done.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return done.filter("name = 'line'").join(up, ["doc_id", "parent"]).select("order_key", (F.col("ord") + 1).cast("long").alias("place"), attr("qty", "long").alias("qty"))
@@ -407,7 +414,7 @@ def sorted_lines(spark, sf_dir):
 @query(f"SELECT name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'note' AS name, count(*) AS n FROM ({_ORDERS}) WHERE o_orderstatus = 'P' UNION ALL SELECT 'order', count(*) FROM ({_ORDERS}) UNION ALL SELECT 'line', count(*) FROM ({_PLACED}) UNION ALL SELECT 'nation', count(*) FROM customer UNION ALL SELECT 'customer', count(*) FROM customer) GROUP BY name")
 def inserted_notes(spark, sf_dir):
     """Insert a fragment into selected nodes and renumber."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return mutate.insert(forest, css.select(forest, "order[status=P]"), "<note/>", "first").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -430,7 +437,7 @@ def model_violations(spark, sf_dir):
     dtd = Dtd("nation")
     for name, model in (("nation", "(customer)"), ("customer", "(order*)"), ("order", "(line+)"), ("line", "EMPTY")):
         dtd.define_element(name, model)
-    broken = readers.check_models(twin.customer_forest(spark, sf_dir), readers.schema_tables(spark, dtd)["dtd_elements"])
+    broken = readers.check_models(customers(spark, sf_dir), readers.schema_tables(spark, dtd)["dtd_elements"])
     return broken.filter("name = 'order'").groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.sources.shred import _ARROW, _ATTR_NAMES, COMMENT, ERROR, NODE_FIELDS, NODES, PI, TEXT, ShredError, Shredder
 from sylva.sources.options import ShredOptions
+from sylva.sources.shred import COMMENT, ERROR, NODE_FIELDS, NODES, PI, TEXT, ShredError, Shredder, node_batch
 
 #: Reserved node names, and prefixes of reserved keys.
 RESERVED = ("#text", "#cdata", "#pi", "#document", "#comment", "#entref")
@@ -50,8 +50,8 @@ class JsonShredder(Shredder):
             top = json.loads(text)
         except json.JSONDecodeError as e:
             raise ShredError(f"malformed JSON: {e.msg}", e.pos, "json") from None
-        super().shred("<x/>")  # fresh columns
-        self.cols = {n: [] for n, _ in NODE_FIELDS}
+        super().shred("<x/>")  # fresh state
+        self.rows = []
         self.stack[0].total = self.stack[0].elems = 0
         self.roots, self.text = 0, []
         check(top)
@@ -62,7 +62,7 @@ class JsonShredder(Shredder):
         else:
             self._node(top)
         self._flush()
-        return self.cols
+        return self._columns()
 
     def _node(self, node) -> None:
         name = node_name(node)
@@ -103,8 +103,7 @@ def _batches(options: ShredOptions):
                 for n in cols:
                     cols[n] += got[n]
                 ids += [doc_id] * len(got["pre"])
-            attrs = [[dict(zip(_ATTR_NAMES, a, strict=True)) for a in row] for row in cols["attrs"]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(attrs if f.name == "attrs" else cols[f.name], f.type) for f in list(_ARROW)[1:]]], schema=_ARROW)
+            yield node_batch(cols, ids)
 
     return run
 

@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from html.entities import html5
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +60,8 @@ NODE_FIELDS = [
     ("node_type", T.ByteType()), ("name", T.StringType()), ("prefix", T.StringType()), ("local", T.StringType()), ("ns_uri", T.StringType()), ("data", T.StringType()), ("in_cdata", T.BooleanType()),
     ("path", T.ArrayType(T.IntegerType())), ("anc", T.ArrayType(T.IntegerType())), ("attrs", ATTRS), ("tag_path", T.StringType()),
 ]
+_COLUMNS = [n for n, _ in NODE_FIELDS]
+_LAST, _N_CHILDREN, _PATH, _TAG_PATH = (_COLUMNS.index(n) for n in ("last", "n_children", "path", "tag_path"))
 NODES = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, t) for n, t in NODE_FIELDS]])
 
 
@@ -116,7 +119,7 @@ class Shredder:
 
     def shred(self, text: str) -> dict[str, list]:
         self.s, self.at, self.dtd, self.declaration = text, 0, None, {}
-        self.cols: dict[str, list] = {n: [] for n, _ in NODE_FIELDS}
+        self.rows: list[list] = []
         self.stack: list[_Open] = [_Open(-1, None, None, {"xml": XML_NS}, (), (), "")]
         self.text: list[str] = []
         self.roots, self.spliced, self.bang = 0, 0, {}
@@ -142,7 +145,10 @@ class Shredder:
                 self._pop()
         if not self.roots and not self.options.fragment and not self.html:
             raise ShredError("no document element", len(self.s))
-        return self.cols
+        return self._columns()
+
+    def _columns(self) -> dict[str, list]:
+        return dict(zip(_COLUMNS, map(list, zip(*self.rows, strict=True)), strict=True)) if self.rows else {n: [] for n in _COLUMNS}
 
     def _content(self) -> None:
         s = self.s
@@ -159,7 +165,7 @@ class Shredder:
                 continue
             if not self.html and not self.extended and (m := _TAG.match(s, at)):
                 self.at = m.end()
-                self._start(m[1], [(a[1], a[2] if a[2] is not None else a[3]) for a in _ATTR.finditer(m[2])], bool(m[3]), at)
+                self._start(m[1], [(k, one or other) for k, one, other in _ATTR.findall(m[2])] if m[2] else (), bool(m[3]), at)
             elif not self.html and (m := _END.match(s, at)):
                 self.at = m.end()
                 self._end(m[1], at)
@@ -258,10 +264,19 @@ class Shredder:
 
     def _literal(self, s: str, at: int) -> str:
         """Character references are replaced when an entity is declared."""
-        return re.sub(r"&#(?:([0-9]+)|x([0-9A-Fa-f]+));", lambda m: chr(int(m[1]) if m[1] else int(m[2], 16)), s)
+
+        def character(m: re.Match) -> str:
+            cp = int(m[1]) if m[1] else int(m[2], 16)
+            if cp >= 0x110000 or _ILLEGAL.match(chr(cp)):
+                raise ShredError(f"illegal character reference {m[0]}", at, "entity")
+            return chr(cp)
+
+        return re.sub(r"&#(?:([0-9]+)|x([0-9A-Fa-f]+));", character, s)
 
     def _value(self, raw: str, at: int, depth: int = 0) -> str:
         """An attribute value: references are replaced, white space becomes blanks."""
+        if not depth and "&" not in raw and raw.isprintable():
+            return raw
         if depth > self.options.get("MAXENTITYDEPTH"):
             raise ShredError("entities are nested too deeply", at, "entity")
         raw = re.sub(r"\r\n|[\t\r\n]", " ", raw)
@@ -454,27 +469,13 @@ class Shredder:
     # -- nodes ---------------------------------------------------------------
 
     def _emit(self, kind: int, name: str, data: str | None, in_cdata: bool = False, prefix=None, local=None, ns_uri=None, attrs=()) -> int:
-        up, c = self.stack[-1], self.cols
-        pre = len(c["pre"])
-        c["pre"].append(pre)
-        c["last"].append(pre)
-        c["parent"].append(up.pre if up.pre >= 0 else None)
-        c["depth"].append(len(up.path) + 1)
-        c["ord"].append(up.total)
-        c["ord_e"].append(up.elems if kind == ELEMENT else None)
-        c["n_children"].append(0)
-        c["node_type"].append(kind)
-        c["name"].append(name)
-        c["prefix"].append(prefix)
-        c["local"].append(local)
-        c["ns_uri"].append(ns_uri)
-        c["data"].append(data)
-        c["in_cdata"].append(in_cdata)
-        up.total += 1
-        c["path"].append((*up.path, up.total))
-        c["anc"].append(up.anc)
-        c["attrs"].append(list(attrs))
-        c["tag_path"].append(up.tag_path + "/" + name)
+        up, pre = self.stack[-1], len(self.rows)
+        place = up.total
+        up.total = place + 1
+        self.rows.append([
+            pre, pre, up.pre if up.pre >= 0 else None, len(up.path) + 1, place, up.elems if kind == ELEMENT else None, 0, kind, name, prefix, local, ns_uri, data, in_cdata,
+            (*up.path, place + 1), up.anc, attrs, up.tag_path + "/" + name,
+        ])
         if kind == ELEMENT:
             up.elems += 1
         return pre
@@ -510,14 +511,16 @@ class Shredder:
             raise ShredError("elements are nested too deeply", at)
         up = self.stack[-1]
         pairs = [(self.fold_attribute(k), self._value(v, at)) for k, v in given]
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ShredError(f"attribute given twice on {raw}", at)
         have, extra = {k for k, _ in pairs}, []
+        if len(have) < len(pairs):
+            raise ShredError(f"attribute given twice on {raw}", at)
         if self.dtd:
             extra = [(k, v) for k, v in self.dtd.defaults(name) if k not in have]
-        extra += [(k, v) for (e, k), v in self.bang.items() if e == raw and k not in have]
+        if self.bang:
+            extra += [(k, v) for (e, k), v in self.bang.items() if e == raw and k not in have]
         ns = up.ns
-        for k, v in [*pairs, *extra]:
+        plain = not extra and not any(":" in k or k == "xmlns" for k in have)
+        for k, v in () if plain else [*pairs, *extra]:
             if k == "xmlns" or k.startswith("xmlns:"):
                 prefix = k[6:]
                 if not self.html and (prefix and not v or prefix in ("xml", "xmlns")):
@@ -526,15 +529,16 @@ class Shredder:
         prefix, local = name.split(":", 1) if ":" in name else (None, name)
         if prefix is not None and prefix not in ns and not self.html:
             raise ShredError(f"undeclared prefix {prefix}", at, "namespace")
-        attrs = []
-        for k, v, given_here in [*[(k, v, True) for k, v in pairs], *[(k, v, False) for k, v in extra]]:
+        attrs = [(k, None, k, None, v, True) for k, v in pairs] if plain else []
+        for k, v, given_here in () if plain else [*[(k, v, True) for k, v in pairs], *[(k, v, False) for k, v in extra]]:
             p, n = k.split(":", 1) if ":" in k else (None, k)
             uri = XMLNS_NS if k == "xmlns" or p == "xmlns" else ns.get(p) if p else None
             if p and uri is None and not self.html:
                 raise ShredError(f"undeclared prefix {p}", at, "namespace")
             attrs.append((k, p, n, uri, v, given_here))
         pre = self._emit(ELEMENT, name, None, prefix=prefix, local=local, ns_uri=ns.get(prefix or "") or None, attrs=attrs)
-        me = _Open(pre, name, raw, ns, self.cols["path"][pre], (*up.anc, pre), self.cols["tag_path"][pre])
+        row = self.rows[pre]
+        me = _Open(pre, name, raw, ns, row[_PATH], (*up.anc, pre), row[_TAG_PATH])
         self.stack.append(me)
         if empty:
             self._pop()
@@ -561,8 +565,8 @@ class Shredder:
 
     def _pop(self) -> None:
         o = self.stack.pop()
-        self.cols["last"][o.pre] = len(self.cols["pre"]) - 1
-        self.cols["n_children"][o.pre] = o.total
+        row = self.rows[o.pre]
+        row[_LAST], row[_N_CHILDREN] = len(self.rows) - 1, o.total
 
 
 def line_of(text: str, offset: int) -> int:
@@ -574,17 +578,28 @@ _ARROW = pa.schema([
     *[(n, pa.string()) for n in ("name", "prefix", "local", "ns_uri", "data")], ("in_cdata", pa.bool_()), ("path", pa.list_(pa.int32())), ("anc", pa.list_(pa.int32())),
     ("attrs", pa.list_(pa.struct([("name", pa.string()), ("prefix", pa.string()), ("local", pa.string()), ("ns_uri", pa.string()), ("value", pa.string()), ("specified", pa.bool_())]))), ("tag_path", pa.string()),
 ])
-_ATTR_NAMES = ("name", "prefix", "local", "ns_uri", "value", "specified")
+
+
+def _nested(rows: list, kind: pa.ListType) -> pa.ListArray:
+    """Rows of tuples as a list array, built from its flat values."""
+    offsets, flat, inner = pa.array([0, *accumulate(map(len, rows))], pa.int32()), list(chain.from_iterable(rows)), kind.value_type
+    if pa.types.is_struct(inner):
+        fields = list(inner)
+        parts = zip(*flat, strict=True) if flat else [()] * len(fields)
+        values = pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, fields, strict=True)], fields=fields)
+    else:
+        values = pa.array(flat, inner)
+    return pa.ListArray.from_arrays(offsets, values, type=kind)
+
+
+def node_batch(cols: dict[str, list], ids: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[_nested(cols[f.name], f.type) if pa.types.is_list(f.type) else pa.array(cols[f.name], f.type) for f in list(_ARROW)[1:]]], schema=_ARROW)
 
 
 def _shred_batches(options: ShredOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shredder = Shredder(options)
 
-        def flush(cols: dict[str, list], ids: list):
-            attrs = [[dict(zip(_ATTR_NAMES, a, strict=True)) for a in row] for row in cols["attrs"]]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(attrs if f.name == "attrs" else cols[f.name], f.type) for f in list(_ARROW)[1:]]], schema=_ARROW)
-
         for batch in batches:
             cols, ids = {n: [] for n, _ in NODE_FIELDS}, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -600,10 +615,10 @@ def _shred_batches(options: ShredOptions):
                         cols[n] += got[n]
                     ids += [doc_id] * len(got["pre"])
                 if len(ids) > 20_000:
-                    yield flush(cols, ids)
+                    yield node_batch(cols, ids)
                     cols, ids = {n: [] for n, _ in NODE_FIELDS}, []
             if ids:
-                yield flush(cols, ids)
+                yield node_batch(cols, ids)
 
     return run
 
