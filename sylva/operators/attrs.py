@@ -95,6 +95,15 @@ def set_attribute(forest: DataFrame, where: Column, name: str, value: Column | s
     return forest.withColumn("attrs", F.when(where & (F.col("node_type") == 1), F.when(have, replaced).otherwise(F.concat("attrs", F.array(new)))).otherwise(F.col("attrs")))
 
 
+def rename_attribute(forest: DataFrame, where: Column, name: str, new: str, ns_uri: str | None = None) -> DataFrame:
+    """Another name (and namespace) in place; an attribute that had the new name gives way."""
+    prefix, local = new.split(":", 1) if ":" in new else (None, new)
+    hit = where & F.exists("attrs", lambda x: x["name"] == name)
+    rest = F.filter("attrs", lambda x: (x["name"] != new) | F.lit(name == new))
+    named = lambda x: F.struct(F.lit(new).alias("name"), F.lit(prefix).cast("string").alias("prefix"), F.lit(local).alias("local"), F.lit(ns_uri).cast("string").alias("ns_uri"), x["value"].alias("value"), x["specified"].alias("specified"))
+    return forest.withColumn("attrs", F.when(hit, F.transform(rest, lambda x: F.when(x["name"] == name, named(x)).otherwise(x))).otherwise(F.col("attrs")))
+
+
 def remove_attribute(forest: DataFrame, where: Column, name: str, ns_uri: str | None = None) -> DataFrame:
     """Silent where it is absent; with a namespace ``name`` is the local name."""
 

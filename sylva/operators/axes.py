@@ -12,7 +12,7 @@ through the exploded ancestor array (or, on request, a range join per document).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _KEEP = ("doc_id", "pre", "last", "parent", "ord", "ord_e", "anc", "node_type", "depth")
@@ -72,6 +72,12 @@ def descendants(forest: DataFrame, ctx: DataFrame, test: Column | None = None, i
     return found.select("from_pre", *forest.columns)
 
 
+def descendant_attributes(forest: DataFrame, ctx: DataFrame, test: Column | None = None, include_self: bool = False) -> DataFrame:
+    """The attributes of the descendant elements, in document order by (pre, aord)."""
+    found = descendants(forest, ctx, test, include_self).filter("node_type = 1")
+    return found.select("from_pre", "doc_id", "pre", F.posexplode("attrs").alias("aord", "a")).select("from_pre", "doc_id", "pre", "aord", "a.*")
+
+
 def ancestors(forest: DataFrame, ctx: DataFrame, test: Column | None = None, include_self: bool = False) -> DataFrame:
     up = F.concat("anc", F.array("pre")) if include_self else F.col("anc")
     c = ctx.select(F.col("doc_id").alias("_d"), F.col("pre").alias("from_pre"), F.explode(up).alias("_a"))
@@ -201,9 +207,23 @@ def by_path(forest: DataFrame, steps: list[int]) -> DataFrame:
     return forest.filter(F.col("path") == F.array(F.lit(1), *[F.lit(s) for s in steps]))
 
 
-def node_path(typed: bool = False) -> Column:
-    """The child-number path from the root step on, as text."""
-    return F.array_join(F.col("path").cast("array<string>"), "/")
+def node_path(typed: bool = False, attribute: str | None = None) -> Column:
+    """The child-number path from the root step on, as text: ``1/2``; ``typed``: ``1(r)/2(p)``; with an attribute's name as the last step ``1/2/@n``."""
+    steps = F.col("path").cast("array<string>")
+    if typed:
+        steps = F.zip_with(steps, F.slice(F.split("tag_path", "/"), 2, F.size("path")), lambda n, name: F.concat(n, F.lit("("), name, F.lit(")")))
+    if attribute is not None:
+        steps = F.concat(steps, F.array(F.lit(f"@{attribute}")))
+    return F.array_join(steps, "/")
+
+
+def paths_without_blanks(forest: DataFrame) -> DataFrame:
+    """(doc_id, pre, path_text) with child numbers that leave out white-space-only texts (those have the number of what follows)."""
+    before = Window.partitionBy("doc_id", "parent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    own = nodes(forest).select("doc_id", "pre", "anc", (F.count_if(~is_blank_text()).over(before) + 1).alias("_n"))
+    up = own.select("doc_id", "pre", F.explode(F.concat("anc", F.array("pre"))).alias("_a")).join(own.select("doc_id", F.col("pre").alias("_a"), "_n"), ["doc_id", "_a"])
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("_a", "_n"))), lambda x: x["_n"].cast("string"))
+    return up.groupBy("doc_id", "pre").agg(F.array_join(steps, "/").alias("path_text"))
 
 
 def is_type(kind: str) -> Column:
@@ -216,7 +236,7 @@ def is_type(kind: str) -> Column:
 
 
 def is_blank_text() -> Column:
-    return (F.col("node_type") == 3) & (F.trim("data", F.lit(" \t\n\r")) == "")
+    return (F.col("node_type") == 3) & F.coalesce(F.trim("data", F.lit(" \t\n\r")) == "", F.lit(False))
 
 
 def blank_in_element_content(forest: DataFrame) -> DataFrame:

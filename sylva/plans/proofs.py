@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sylva.functions import text
 from sylva.operators import attrs, axes, css, mutate, positions
 from sylva.plans import twin
-from sylva.plans.catalog import _ORDERS, _PLACED, attr, long, query, table
+from sylva.plans.catalog import _ORDERS, _PLACED, attr, customers, long, query, table
 from sylva.sources.shred import shred
 
 _ALL = f"SELECT 'nation' AS name FROM customer UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'order' FROM ({_ORDERS}) UNION ALL SELECT 'line' FROM ({_PLACED})"
@@ -131,7 +131,7 @@ def broken_documents(spark, sf_dir):
 @query("SELECT l_orderkey AS order_key, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_pairs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 1")
 def preceding_line_pairs(spark, sf_dir):
     """Preceding-sibling axis."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     up = forest.filter("name = 'order'").select("doc_id", F.col("pre").alias("parent"), attr("key", "long").alias("order_key"))
     return axes.preceding_siblings(forest, forest.filter("name = 'line'")).join(up, ["doc_id", "parent"]).groupBy("order_key").agg(F.count(F.lit(1)).alias("n_pairs"))
 
@@ -139,21 +139,21 @@ def preceding_line_pairs(spark, sf_dir):
 @query(f"SELECT c_custkey AS customer, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n FROM ({_ORDERS}) GROUP BY 1 HAVING count(*) > 1")
 def later_orders(spark, sf_dir):
     """Following axis: pairs of orders of a document."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return axes.following(forest, forest.filter("name = 'order'"), F.col("name") == "order", xpath=True).groupBy(F.col("doc_id").alias("customer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'customer' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'line' ELSE 'order' END AS name FROM customer c LEFT JOIN (SELECT o_custkey AS k, o_orderkey FROM ({_ORDERS}) WHERE opos = 1) ON k = c.c_custkey) GROUP BY name")
 def leftmost_nodes(spark, sf_dir):
     """The deepest first node of every document."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return _by_name(axes.leftmost(forest, forest.filter("pre = 0")))
 
 
 @query(f"SELECT CAST(count(*) FILTER (pos = 1) AS BIGINT) AS firsts, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS lasts FROM ({_PLACED})")
 def first_and_last_lines(spark, sf_dir):
     """Tests for first and last children."""
-    lines = twin.customer_forest(spark, sf_dir)
+    lines = customers(spark, sf_dir)
     firsts = lines.filter(axes.is_first_child() & (F.col("name") == "line")).agg(F.count(F.lit(1)).alias("firsts"))
     return firsts.join(axes.last_children(lines).filter("name = 'line'").agg(F.count(F.lit(1)).alias("lasts")), F.lit(True))
 
@@ -184,27 +184,27 @@ def renamed_lines(spark, sf_dir):
 @query(f"SELECT o_orderkey AS order_key, CAST(1 + (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS BIGINT) AS n FROM ({_ORDERS})")
 def cloned_orders(spark, sf_dir):
     """Subtrees as documents of their own."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return mutate.clone(forest, forest.filter("name = 'order'"), attr("key", "long")).groupBy(F.col("doc_id").alias("order_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'nation' AS name FROM customer UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'order' FROM ({_ORDERS}) UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'back' ELSE 'line' END FROM ({_PLACED})) GROUP BY 1")
 def replaced_lines(spark, sf_dir):
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return _by_name(mutate.replace(forest, css.select(forest, "line[flag=R]"), "<back/>"))
 
 
 @query(f"SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'nation' AS name FROM customer UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'order' FROM ({_ORDERS}) UNION ALL SELECT '#text' FROM ({_ORDERS}) WHERE o_orderstatus = 'P' UNION ALL SELECT 'line' FROM ({_PLACED}) WHERE o_orderstatus <> 'P') GROUP BY 1")
 def emptied_orders(spark, sf_dir):
     """Content replaced by a text."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     return _by_name(mutate.set_content(forest, css.select(forest, "order[status=P]"), text="gone"))
 
 
 @query(f"SELECT c_custkey AS customer, CAST(sum(opos + p) AS BIGINT) AS places FROM (SELECT *, count(*) FILTER (o_orderstatus = 'P') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM ({_ORDERS})) GROUP BY 1")
 def notes_before_orders(spark, sf_dir):
     """Insertion before nodes moves what follows."""
-    forest = twin.customer_forest(spark, sf_dir)
+    forest = customers(spark, sf_dir)
     done = mutate.insert(forest, css.select(forest, "order[status=P]"), "<note/>", "before")
     return done.filter("name = 'order'").groupBy(F.col("doc_id").alias("customer")).agg(F.sum((F.col("ord") + 1).cast("long")).alias("places"))
 
@@ -214,3 +214,59 @@ def places_in_children(spark, sf_dir):
     """Places among element children."""
     orders = positions.child_index(twin.customer_forest(spark, sf_dir), only_elements=True).filter("name = 'order'")
     return orders.agg(F.sum(F.col("child_index").cast("long")).alias("before"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_orderstatus AS state, CAST(count(*) AS BIGINT) AS n FROM ({_ORDERS}) GROUP BY 1")
+def renamed_attributes(spark, sf_dir):
+    done = attrs.rename_attribute(twin.customer_forest(spark, sf_dir), F.col("name") == "order", "status", "state")
+    return done.filter(F.col("name") == "order").groupBy(attr("state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_orderkey AS order_key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END, o_orderkey) AS BIGINT) AS place, CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS BIGINT) AS n_lines FROM ({_ORDERS})")
+def moved_orders(spark, sf_dir):
+    """Subtrees moved to the end of their customer."""
+    forest = customers(spark, sf_dir)
+    moves = css.select(forest, "order[status=P]").select("doc_id", "pre", F.col("doc_id").alias("to_doc"), F.col("parent").alias("to_pre"))
+    return mutate.move(forest, moves).filter("name = 'order'").select(attr("key", "long").alias("order_key"), (F.col("ord") + 1).cast("long").alias("place"), long("n_children", "n_lines"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, 'urn:n' || n_nationkey AS uri, 'urn:d' AS plain FROM nation")
+def namespaces_of_inserted(spark, sf_dir):
+    """An inserted fragment takes the prefixes of its place."""
+    n = table(spark, sf_dir, "nation")
+    doc = F.concat(F.lit('<r xmlns="urn:d" xmlns:p="urn:n'), F.col("n_nationkey").cast("string"), F.lit('"><q/></r>'))
+    forest = shred(n.select("n_nationkey", doc.alias("text")), "n_nationkey", "text")
+    done = mutate.insert(forest, forest.filter("name = 'q'"), "<p:x/><y/>", "after")
+    return done.groupBy(F.col("doc_id").alias("nation")).agg(F.max(F.when(F.col("name") == "p:x", F.col("ns_uri"))).alias("uri"), F.max(F.when(F.col("name") == "y", F.col("ns_uri"))).alias("plain"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS part, substr(p_type, 1, 3) AS head, substr(p_type, 4) AS tail FROM part")
+def split_texts(spark, sf_dir):
+    """Texts cut in two around an element."""
+    p = table(spark, sf_dir, "part")
+    forest = shred(p.select("p_partkey", F.concat(F.lit("<t>"), text.escape_text(F.col("p_type")), F.lit("</t>")).alias("text")), "p_partkey", "text")
+    done = mutate.split_text(forest, forest.filter("node_type = 3"), 3, "<b/>")
+    return done.groupBy(F.col("doc_id").alias("part")).agg(F.max(F.when(F.col("ord") == 0, F.col("data"))).alias("head"), F.max(F.when(F.col("ord") == 2, F.col("data"))).alias("tail"))
+
+
+@query(f"SELECT o_orderkey AS order_key, '1(nation)/1(customer)/' || opos || '(order)' AS typed, '1/1/' || opos || '/@key' AS key_path FROM ({_ORDERS})")
+def typed_paths(spark, sf_dir):
+    """Paths with names, and to attributes."""
+    orders = twin.customer_forest(spark, sf_dir).filter("name = 'order'")
+    return orders.select(attr("key", "long").alias("order_key"), axes.node_path(typed=True).alias("typed"), axes.node_path(attribute="key").alias("key_path"))
+
+
+@query(f"SELECT elem, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['key', 'status', 'priority']) AS elem FROM ({_ORDERS}) UNION ALL SELECT unnest(['n', 'qty', 'cents', 'flag', 'part', 'supp']) FROM ({_PLACED})) GROUP BY 1")
+def attributes_below_customers(spark, sf_dir):
+    """The attributes on the descendant axis."""
+    forest = customers(spark, sf_dir)
+    return axes.descendant_attributes(forest, forest.filter("name = 'customer'")).groupBy(F.col("name").alias("elem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, '/d/section/section/p' AS deepest, CAST(3 AS BIGINT) AS n_sections FROM nation")
+def nested_sections(spark, sf_dir):
+    """Headings to nested sections."""
+    n = table(spark, sf_dir, "nation")
+    forest = shred(n.select("n_nationkey", F.concat(F.lit("<d><p/><h1>"), "n_name", F.lit("</h1><p/><h2/><p/><h1/></d>")).alias("text")), "n_nationkey", "text")
+    done = mutate.sections(forest).groupBy(F.col("doc_id").alias("nation"))
+    return done.agg(F.max_by(F.when(F.col("name") == "p", F.col("tag_path")), F.when(F.col("name") == "p", F.col("depth"))).alias("deepest"), F.count_if(F.col("name") == "section").alias("n_sections"))

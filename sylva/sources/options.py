@@ -29,7 +29,8 @@ class ShredOptions:
 
     ``mode`` is ``xml`` (well-formedness is checked) or ``html`` (tag soup: the rules of
     ``shred`` repair it).  ``on_error``: ``permissive`` gives an error row and no nodes for
-    the document, ``failfast`` raises.  ``fragment`` allows any number of top nodes.
+    the document, ``failfast`` raises.  ``fragment`` allows any number of top nodes,
+    ``open_prefixes`` prefixes that it does not declare (their uri stays null).
     ``keep_space``: whether white-space-only text is kept.  ``resolved`` maps system
     identifiers to the text of external entities, as ``resolve_entities`` reads them on the driver.  ``extra`` holds the options
     of ``BASE_OPTIONS`` and ``EXTENSION_OPTIONS``.
@@ -38,6 +39,7 @@ class ShredOptions:
     mode: str = "xml"
     on_error: str = "permissive"
     fragment: bool = False
+    open_prefixes: bool = False
     keep_space: bool = True
     max_depth: int = 10_000
     resolved: dict = field(default_factory=dict)

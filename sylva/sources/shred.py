@@ -527,13 +527,13 @@ class Shredder:
                     raise ShredError(f"prefix {prefix} can not be declared so", at, "namespace")
                 ns = {**ns, prefix: v}
         prefix, local = name.split(":", 1) if ":" in name else (None, name)
-        if prefix is not None and prefix not in ns and not self.html:
+        if prefix is not None and prefix not in ns and not self.html and not self.options.open_prefixes:
             raise ShredError(f"undeclared prefix {prefix}", at, "namespace")
         attrs = [(k, None, k, None, v, True) for k, v in pairs] if plain else []
         for k, v, given_here in () if plain else [*[(k, v, True) for k, v in pairs], *[(k, v, False) for k, v in extra]]:
             p, n = k.split(":", 1) if ":" in k else (None, k)
             uri = XMLNS_NS if k == "xmlns" or p == "xmlns" else ns.get(p) if p else None
-            if p and uri is None and not self.html:
+            if p and uri is None and not self.html and not self.options.open_prefixes:
                 raise ShredError(f"undeclared prefix {p}", at, "namespace")
             attrs.append((k, p, n, uri, v, given_here))
         pre = self._emit(ELEMENT, name, None, prefix=prefix, local=local, ns_uri=ns.get(prefix or "") or None, attrs=attrs)

@@ -252,6 +252,29 @@ def test_edits(spark):
     assert secs == {0: None, 1: None, 2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_moves_sections_and_scopes(spark):
+    f = forest_of(spark, "<a><b><i/></b><c/></a>", "<z/>").cache()
+    moves = spark.createDataFrame([(0, 1, 1, 0)], "doc_id long, pre int, to_doc long, to_pre int")
+    assert sorted(xml_of(mutate.move(f, moves))) == ["<a><c/></a>", "<z><b><i/></b></z>"]
+    both = spark.createDataFrame([(0, 1, 1, 0), (0, 2, 0, 3)], "doc_id long, pre int, to_doc long, to_pre int")
+    assert sorted(xml_of(mutate.move(f, both))) == ["<a><c><i/></c></a>", "<z><b/></z>"]
+    with pytest.raises(Exception, match="moved subtree"):
+        mutate.move(f, spark.createDataFrame([(0, 1, 0, 2)], "doc_id long, pre int, to_doc long, to_pre int")).collect()
+    g = forest_of(spark, "<d><p/><h1/>t<h2/><q/><h3/><h2/><div><h1/><p/></div><h1/></d>")
+    assert xml_of(mutate.sections(g)) == ["<d><p/><section><h1/>t<section><h2/><q/><section><h3/></section></section><section><h2/><div><section><h1/><p/></section></div></section></section><section><h1/></section></d>"]
+    h = forest_of(spark, "<r xmlns:p='u'><c xmlns:p='v'/></r>").cache()
+    uris = lambda done: {r["ns_uri"] for r in done.filter("name = 'p:x'").collect()}
+    assert uris(mutate.insert(h, h.filter("name = 'c'"), "<p:x p:k='1'/>", "last")) == {"v"} and uris(mutate.replace(h, h.filter("name = 'c'"), "<p:x/>")) == {"u"}
+    with pytest.raises(Exception, match="undeclared prefix"):
+        mutate.insert(h, h.filter("name = 'c'"), "<w:x/>").collect()
+    with pytest.raises(Exception, match="beyond the text"):
+        mutate.split_text(g, g.filter("data = 't'"), 5, "<s/>").collect()
+    renamed = attrs.rename_attribute(forest_of(spark, "<r a='1' b='2' c='3'/>"), F.lit(True), "a", "b").first()["attrs"]
+    assert [(x["name"], x["value"]) for x in renamed] == [("b", "1"), ("c", "3")]
+    k = forest_of(spark, "<r> <x/> <y> <z/></y></r>")
+    assert {r["path_text"] for r in axes.paths_without_blanks(k).join(k.filter("node_type = 1"), ["doc_id", "pre"]).collect()} == {"1", "1/1", "1/2", "1/2/1"}
+
+
 def test_equality_and_canonical_form(spark):
     f = forest_of(spark, '<r><a x="1" y="2">t</a><a y="2" x="1">t</a><a y="2">t</a></r>')
     assert len({r["hash"] for r in serialize.tree_hash(f, f.filter("name = 'a'")).collect()}) == 2
