@@ -14,11 +14,12 @@ EXTENSION_OPTIONS = (
     "elementFold", "entityFold", "attributeFold", "idFold", "groupDcl", "oflag", "sgmlWord", "mixin", "repBrace", "globalAttribute", "anyAttribute", "xsdType",
     "fragComment", "htmlNames", "unicodeNames", "schemaType", "multiPath", "piAttribute", "simultaneous", "suspend", "olist", "emptyEnd", "omitEnd", "omitAtEOF",
     "restart", "restartName", "unQuotedAttribute", "curlyQuote", "booleanAttribute", "booleanIsName", "bangAttribute", "backslash", "MSType", "emComment", "specialFloat",
+    "keywordFold", "nestComment", "noAttributeNorm",
 )
 UNFINISHED_OPTIONS = (
-    "notationFold", "keywordFold", "xsdFold", "uNormHandler", "wsDef", "mixel", "xsdPlural", "multiSDATA", "setDcl", "entEncoding", "piAttlist", "multiTag",
-    "suspendDcl", "olistDcl", "trojanDcl", "unordered", "endTagId", "levelCount", "qgi", "elementAbbr", "lineTag", "noAttributeNorm", "attributeAbbr",
-    "bangAttributeType", "piEscape", "poundComment", "nestComment", "extraDcl", "IDSuffix", "NAMESPACEID", "STACKID", "TYPEID", "COMPOUNDID", "COID", "STARTID",
+    "notationFold", "xsdFold", "uNormHandler", "wsDef", "mixel", "xsdPlural", "multiSDATA", "setDcl", "entEncoding", "piAttlist", "multiTag",
+    "suspendDcl", "olistDcl", "trojanDcl", "unordered", "endTagId", "levelCount", "qgi", "elementAbbr", "lineTag", "attributeAbbr",
+    "bangAttributeType", "piEscape", "poundComment", "extraDcl", "IDSuffix", "NAMESPACEID", "STACKID", "TYPEID", "COMPOUNDID", "COID", "STARTID",
     "SUSPENDID", "RESUMEID", "ENDID", "BOUNDARYID",
 )
 

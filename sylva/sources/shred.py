@@ -113,6 +113,7 @@ class Shredder:
         self.html_names = self.html or get("htmlNames")
         self.quotes = _CURLY if get("curlyQuote") else _QUOTES
         self.extended = any(get(x) for x in ("unQuotedAttribute", "curlyQuote", "booleanAttribute", "bangAttribute"))
+        self.no_norm = get("noAttributeNorm")
         self.handlers = None
 
     # -- one document ------------------------------------------------------
@@ -273,13 +274,13 @@ class Shredder:
 
         return re.sub(r"&#(?:([0-9]+)|x([0-9A-Fa-f]+));", character, s)
 
-    def _value(self, raw: str, at: int, depth: int = 0) -> str:
-        """An attribute value: references are replaced, white space becomes blanks."""
+    def _value(self, raw: str, at: int, depth: int = 0, norm: bool = True) -> str:
+        """An attribute value: references are replaced, white space becomes blanks (unless ``norm`` is false)."""
         if not depth and "&" not in raw and raw.isprintable():
             return raw
         if depth > self.options.get("MAXENTITYDEPTH"):
             raise ShredError("entities are nested too deeply", at, "entity")
-        raw = re.sub(r"\r\n|[\t\r\n]", " ", raw)
+        raw = re.sub(r"\r\n|[\t\r\n]", " ", raw) if norm else raw
         if "&" not in raw:
             return raw
         out, done = [], 0
@@ -294,35 +295,47 @@ class Shredder:
             value, markup = self._reference(r, at)
             if markup and "<" in value:
                 raise ShredError("markup in an attribute", at, "entity")
-            out += [raw[done : m.start()], self._value(value, at, depth + 1) if markup else value]
+            out += [raw[done : m.start()], self._value(value, at, depth + 1, norm) if markup else value]
             done = r.end()
         return "".join(out) + raw[done:]
 
     def _comment(self, at: int) -> None:
-        end = self.s.find("-->", at + 4)
+        end = self._comment_end(at) if self.options.get("nestComment") else self.s.find("-->", at + 4)
         if end < 0:
             if not self.html:
                 raise ShredError("unclosed comment", at)
             end = len(self.s)
         data = self.s[at + 4 : end]
-        if not self.html and ("--" in data or data.endswith("-")):
+        plain = re.sub("<!--|-->", "", data) if self.options.get("nestComment") else data
+        if not self.html and ("--" in plain or plain.endswith("-")):
             raise ShredError("-- in a comment", at)
         self._leaf(COMMENT, data, at)
         self.at = end + 3
 
+    def _comment_end(self, at: int) -> int:
+        """Where the comment ends when comments nest, -1 without an end."""
+        depth = 0
+        for m in re.compile("<!--|-->").finditer(self.s, at):
+            depth += 1 if m[0] == "<!--" else -1
+            if not depth:
+                return m.start()
+        return -1
+
     def _section(self, at: int) -> None:
-        m = re.compile(r"<!\[\s*(\w+)\s*\[" if self.options.get("MSType") else r"<!\[(CDATA)\[").match(self.s, at)
+        fold = self.options.get("keywordFold")
+        m = re.compile(r"<!\[\s*(\w+)\s*\[" if self.options.get("MSType") else r"<!\[(CDATA)\[", re.I if fold else 0).match(self.s, at)
+        kind = (m[1].upper() if fold else m[1]) if m else None
         end = self.s.find("]]>", at)
         if self.html and not m:
             self.at = self.s.find(">", at) + 1 or len(self.s)
             return
-        if not m or end < 0 or m[1] not in ("CDATA", "RCDATA", "IGNORE", "INCLUDE", "TEMP"):
+        if not m or end < 0 or kind not in ("CDATA", "RCDATA", "IGNORE", "INCLUDE", "TEMP"):
             raise ShredError("malformed marked section", at)
         if len(self.stack) == 1 and not self.options.fragment and not self.html:
             raise ShredError("text outside the document element", at)
-        if m[1] in ("INCLUDE", "TEMP", "RCDATA"):
+        if kind in ("INCLUDE", "TEMP", "RCDATA"):
             self._characters(self.s[m.end() : end], m.end())
-        elif m[1] == "CDATA":
+        elif kind == "CDATA":
             self._flush()
             self._emit(TEXT, "#text", self.s[m.end() : end], in_cdata=True)
         self.at = end + 3
@@ -510,7 +523,11 @@ class Shredder:
         if len(self.stack) > self.options.max_depth:
             raise ShredError("elements are nested too deeply", at)
         up = self.stack[-1]
-        pairs = [(self.fold_attribute(k), self._value(v, at)) for k, v in given]
+        if self.no_norm:  # only what is declared is normalized
+            declared = {a["attr"] for a in self.dtd.attrs if a["elem"] in (name, "*")} if self.dtd else ()
+            pairs = [(k, self._value(v, at, norm=k in declared)) for k, v in ((self.fold_attribute(k), v) for k, v in given)]
+        else:
+            pairs = [(self.fold_attribute(k), self._value(v, at)) for k, v in given]
         have, extra = {k for k, _ in pairs}, []
         if len(have) < len(pairs):
             raise ShredError(f"attribute given twice on {raw}", at)

@@ -130,3 +130,18 @@ def test_models(model, good, bad):
 
 def test_model_names():
     assert model_names("(a, (b | c)*, (#PCDATA))") == {"a", "b", "c"}
+
+
+def test_nested_comments_keywords_and_spaces():
+    get = lambda text, **extra: Shredder(ShredOptions(extra=extra)).shred(text)
+    assert get("<r><!-- a <!-- b --> c --></r>", nestComment=True)["data"] == [None, " a <!-- b --> c "]
+    for text in ("<r><!-- a <!-- b --> c</r>", "<r><!-- a -- b --></r>"):
+        with pytest.raises(ShredError):
+            get(text, nestComment=True)
+    assert get("<r><![cdata[<]]></r>", keywordFold="UPPER")["data"] == [None, "<"]
+    with pytest.raises(ShredError):
+        get("<r><![cdata[<]]></r>")
+    doc = '<!DOCTYPE r [<!ATTLIST r a CDATA #IMPLIED>]><r a="x\ty" b="x\ty"/>'
+    assert [a[4] for a in get(doc, noAttributeNorm=True)["attrs"][0]] == ["x y", "x\ty"] and [a[4] for a in get(doc)["attrs"][0]] == ["x y", "x y"]
+    with pytest.raises(ShredError, match="illegal character"):
+        get('<!DOCTYPE r [<!ENTITY e "&#1114112;">]><r>&e;</r>')
